@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import find_leaks
 from .mixing import mix_sources
 from .ogg import media_digests
+from .quality import quality
 from .sharding import byte_shards
 from .simhash import near_duplicate_groups
 from .tokencount import token_counts
@@ -21,6 +23,14 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -44,5 +54,8 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_token_counts, op4_byte_shards, op5_ogg_media, op6_simhash_groups, op7_source_mix)
+    for f in (
+        op1_benchmark_leaks, op2_quality_scores, op3_token_counts, op4_byte_shards, op5_ogg_media,
+        op6_simhash_groups, op7_source_mix,
+    )
 }
