@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -39,3 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
 def signed(value: int) -> int:
     """The signed 64-bit integer with the bits of an unsigned one."""
     return value - (1 << 64) if value >= 1 << 63 else value
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, how: str, once: bool = False) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is in ids ('left_semi') or is not ('left_anti').
+
+    A null id equals a null id. The ids become one plain key, so that the join, and with `once` the
+    choice of one row an id, share a single exchange.
+    """
+    key, null = "__id_key", F.lit(-(1 << 63))
+    keys = ids.select(F.coalesce(F.col("doc_id").cast("bigint"), null).alias(key)).distinct()
+    kept = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), null)).join(keys, key, how)
+    return (kept.dropDuplicates([key]) if once else kept).drop(key)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship_code
+from .common import cut, ship_code, with_ids
 from .wordhash import Words, mix, utf8, words
 
 BUCKET_BITS = 13  # hashed words that passages are vectors over
@@ -393,8 +393,5 @@ def find_leaks(
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, that leak no item; a few leaking ids are broadcast, many joined."""
-    key, least = "__leak_key", -(1 << 63)
-    ids = cut(find_leaks(docs, benchmark, **options).select(F.coalesce("doc_id", F.lit(least)).alias(key)).distinct())
-    ids = F.broadcast(ids) if ids.count() <= SMALL else ids
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(least)))
-    return keyed.join(ids, key, "left_anti").drop(key)
+    ids = cut(find_leaks(docs, benchmark, **options).select("doc_id").distinct())
+    return with_ids(docs, F.broadcast(ids) if ids.count() <= SMALL else ids, "left_anti")

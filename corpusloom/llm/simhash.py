@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship_code, signed
+from .common import cut, ship_code, signed, with_ids
 from .components import connected_components
 
 BITS = 64
@@ -173,12 +173,6 @@ def keep_one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     Of several rows with that same doc_id one stays; rows with a null doc_id stay only if nothing
     else is in their group.
     """
-    key, least = "__near_dup_key", -(1 << 63)  # nulls as a value: one plain key for join and distinct
     groups = near_duplicate_groups(docs.select("doc_id", "text"), **options)
-    firsts = (
-        groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.coalesce("doc_id", F.lit(least)).alias(key))
-        .distinct()
-    )
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(least)))
-    return keyed.join(firsts, key, "left_semi").dropDuplicates([key]).drop(key)
+    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return with_ids(docs, firsts, "left_semi", once=True)
