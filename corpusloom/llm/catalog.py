@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .chat import link_quotes
 from .decontaminate import find_leaks
+from .html_crf import extract_main_text
+from .licenses import license_scan
 from .mixing import mix_sources
 from .ogg import media_digests
 from .quality import quality
@@ -52,10 +55,27 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/thousand/doc_id: the table has no paths of its own."""
+    parts = [F.coalesce(c, F.lit("unknown")) for c in ("source", "lang")]
+    number = F.coalesce(F.col("doc_id"), F.lit(-1))
+    path = F.concat_ws("/", *parts, F.floor(number / 1000).cast("string"), number.cast("string"))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return license_scan(files, passed=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_benchmark_leaks, op2_quality_scores, op3_token_counts, op4_byte_shards, op5_ogg_media,
-        op6_simhash_groups, op7_source_mix,
+        op6_simhash_groups, op7_source_mix, op8_quote_links, op9_main_text, op10_license_scan,
     )
 }

@@ -7,10 +7,10 @@ and one row a shard are summed up in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, in_order
 
 
 def byte_shards(
@@ -33,35 +33,11 @@ def byte_shards(
             F.crc32(text).alias("text_crc32"),
         )
     )
-    # The last key spreads rows that are all alike over several ranges, too.
-    order = ["doc_id", "text_crc32", "size", "tie"]
-    placed = cut(
-        sized.withColumn("tie", F.monotonically_increasing_id())
-        .repartitionByRange(*order)
-        .withColumn("part", F.spark_partition_id())
-    )
-    parts = placed.groupBy("part").agg(F.sum("size").alias("part_bytes"), F.count(F.lit(1)).alias("part_rows"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(
-        "part",
-        F.coalesce(F.sum("part_bytes").over(before), F.lit(0)).alias("bytes_before"),
-        F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"),
-        F.sum("part_bytes").over(Window.partitionBy(F.lit(0))).alias("total"),
-    )
-    within = Window.partitionBy("part").orderBy(*order)
-    ranked = placed.select(
-        "*",
-        (F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("start"),
-        (F.row_number().over(within) - 1).cast("bigint").alias("row"),
-    )
-    cut_at = F.expr(f"(2 * (bytes_before + start) + size) * {shards} div (2 * total)")
+    middle = F.expr(f"(2 * size_before + size) * {shards} div (2 * size_total)")
+    ordered = in_order(sized, ["doc_id", "text_crc32", "size"], ("size",))
     dealt = cut(
-        ranked.join(offsets, "part").select(
-            "doc_id", "size", "text_crc32",
-            F.least(cut_at, F.lit(shards - 1)).cast("int").alias("shard"),
-            (F.col("rows_before") + F.col("row")).alias("row"),
-        )
-    )
+        ordered.select("doc_id", "size", "text_crc32", F.least(middle, F.lit(shards - 1)).cast("int").alias("shard"), "row")
+    )
     firsts = dealt.groupBy("shard").agg(F.min("row").alias("first_row"))
     return dealt.join(F.broadcast(firsts), "shard").select(  # one row a shard
         "doc_id", "size", "text_crc32",
