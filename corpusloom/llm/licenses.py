@@ -47,13 +47,15 @@ TEMPLATES = {
 }
 #: A line's words: runs of letters and digits.
 WORD = r"[a-z0-9]+"
+#: Words without weight.
+STOP_WORDS = "a an and any are as at be by do for from in is it may not of on or so that the this to under use via whom with without work you your".split()
 THRESHOLD = 0.8  # least cosine of a line and a template
 FILE_SHARE = 0.5  # a file is a licence file if so much of its words are in matching lines
 FILE_NAME = r"(?i)^(un)?licen[cs]e|^copying"
 
 
 def _words(text: str) -> list[str]:
-    return re.findall(WORD, text.lower())
+    return [w for w in re.findall(WORD, text.lower()) if w not in STOP_WORDS]
 
 
 def template_weights(templates: dict[str, list[str]]) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
@@ -80,7 +82,7 @@ def guard_words(rows: list[tuple[int, str, str, float]], threshold: float) -> li
         left[number] += weight**2
     chosen: set[str] = set()
     for number in sorted(left):
-        own = sorted(((w, x) for n, _, w, x in rows if n == number), key=lambda p: (len(p[0]) < 4, -uses[p[0]] * p[1], p[0]))
+        own = sorted(((w, x) for n, _, w, x in rows if n == number), key=lambda p: (p[0].isdigit(), len(p[0]) < 4, -uses[p[0]] * p[1], p[0]))
         for word, _ in own:
             if left[number] < threshold**2 - 1e-9:
                 break
@@ -112,7 +114,7 @@ def match_lines(lines: DataFrame, threshold: float, templates: dict[str, list[st
     words = (
         lines.select("line").distinct().select("line", F.explode(F.split("line", " ")).alias("word")).groupBy("line", "word").agg(F.count(F.lit(1)).alias("n"))
     )
-    known = spark.createDataFrame(sorted(idf.items()), "word string, idf double")
+    known = spark.createDataFrame(sorted((idf | dict.fromkeys(STOP_WORDS, 0.0)).items()), "word string, idf double")
     weighed = words.join(F.broadcast(known), "word", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(other)))
     lengths = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"), F.sum("n").alias("n_words"))
     table = spark.createDataFrame(rows, "template int, license string, word string, weight double")
