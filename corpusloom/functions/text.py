@@ -48,24 +48,24 @@ def sentences(c: Column) -> Column:
 
 def word_ngrams(tokens: Column, n: int) -> Column:
     """Lists of n tokens on end; none if there are fewer."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.slice(tokens, i, n))).otherwise(
-        F.array().cast("array<array<string>>")
-    )
+    grams = lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.slice(a, i, n))
+    return let(tokens, lambda a: F.when(F.size(a) >= n, grams(a)).otherwise(F.array().cast("array<array<string>>")))
+
+
+def _runs(a: Column, n: int, between: str) -> Column:
+    """Every n neighbours of a list joined; neighbours are picked by place, which costs the same anywhere in a list."""
+    return F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: F.concat_ws(between, *[F.get(a, i + k) for k in range(n)]))
 
 
 def word_shingles(tokens: Column, n: int = 3) -> Column:
     """n tokens joined by a space; the whole list as one shingle if there are fewer."""
-    return F.when(
-        F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    ).otherwise(F.array(F.array_join(tokens, " ")))
+    return let(tokens, lambda a: F.when(F.size(a) >= n, _runs(a, n, " ")).otherwise(F.array(F.array_join(a, " "))))
 
 
 def char_ngrams(c: Column, n: int = 3) -> Column:
     """n characters on end after spaces are deleted; the whole text, empty too, if there are fewer."""
-    return let(
-        F.replace(c, F.lit(" "), F.lit("")),
-        lambda s: F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array(s)),
-    )
+    letters = F.split(F.replace(c, F.lit(" "), F.lit("")), "")
+    return let(letters, lambda a: F.when(F.size(a) >= n, _runs(a, n, "")).otherwise(F.array(F.array_join(a, ""))))
 
 
 @F.pandas_udf(T.StringType())

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from corpusloom.functions.text import SPACE, let, word_ngrams, words
 
@@ -77,19 +80,26 @@ def chrf(df: DataFrame, key: str, hyp: str, ref: str, char_order: int = 6, word_
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Longest common subsequence of two word lists: a fold over one of a row of the table over the other."""
-
-    def row(previous: Column, word: Column) -> Column:
-        # Along the row: the last cell, the cell up and to the left, and the cells so far.
-        start = F.struct(F.lit(0).alias("left"), F.array().cast("array<int>").alias("cells"))
-        cell = lambda acc, i: F.greatest(acc["left"], previous[i], F.when(F.element_at(b, i) == word, previous[i - 1] + 1).otherwise(0))
-        grown = F.aggregate(
-            F.sequence(F.lit(1), F.size(b)), start, lambda acc, i: let(cell(acc, i), lambda v: F.struct(v.alias("left"), F.concat(acc["cells"], F.array(v)).alias("cells")))
-        )
-        return F.concat(F.array(F.lit(0)), grown["cells"])
-
-    table = F.aggregate(a, F.concat(F.array(F.lit(0)), F.transform(b, lambda _: F.lit(0))), row)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(table, -1))
+    """Longest common subsequence of two word lists, of at most some hundred words each.
+
+    Arrow-batched: the table's rows are array operations, which a fold of lambdas is far from.
+    """
+    return _lcs(a, b)
+
+
+@F.pandas_udf(IntegerType())
+def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    def length(x, y) -> int:
+        if x is None or y is None or not len(x) or not len(y):
+            return 0
+        ids = {w: i for i, w in enumerate(dict.fromkeys([*x, *y]))}
+        other = np.array([ids[w] for w in y])
+        row = np.zeros(len(y) + 1, int)
+        for word in x:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (other == ids[word])))
+        return int(row[-1])
+
+    return pd.Series([length(x, y) for x, y in zip(a, b, strict=True)])
 
 
 def rouge_l(df: DataFrame, hyp: str, ref: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
 from corpusloom.operators.ordering import in_order, in_order_by_group
 
 #: Token targets of the training, validation and test sets.
@@ -68,9 +69,12 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) ->
 
 def training_windows(tokens: Column, length: int) -> Column:
     """Every (start, x, y): length tokens from each start and the same shifted by one; none if there are too few."""
-    n = F.size(tokens) - length
-    pair = lambda i: F.struct((i - 1).alias("start"), F.slice(tokens, i, length).alias("x"), F.slice(tokens, i + 1, length).alias("y"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), pair))
+    def cut_up(a: Column) -> Column:
+        n = F.size(a) - length
+        pair = lambda i: F.struct((i - 1).alias("start"), F.slice(a, i, length).alias("x"), F.slice(a, i + 1, length).alias("y"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), pair))
+
+    return let(tokens, cut_up)
 
 
 def positions(n_tokens: Column, context: int) -> Column:

@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusloom.plans import dedup_queries, text_queries
+from corpusloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "dedup_queries", "text_queries"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean all documents, drop copies, and count lines and words by source."""
+    return QUERIES["clean_pipeline"](spark, sf_dir)
