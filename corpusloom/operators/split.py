@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -100,23 +101,26 @@ def cyclic_batches(df: DataFrame, order: str, batch: int, steps: int) -> DataFra
 def fold_with_reset(df: DataFrame, order: str, size: str, limit: int, out: str = "file_index", check_every: int = 1) -> DataFrame:
     """df with the index of the file each row goes to: a new one begins once `limit` is reached.
 
-    Rows are taken in batches of check_every; the sum is looked at after a whole batch. What is
-    folded in one place are batch totals: cut them large, for they are one number a batch.
+    Rows are taken in batches of check_every; the sum is looked at after a whole batch. Where a file
+    ends depends on all before it, so the batches' totals, three numbers each, pass in order through
+    one task, which keeps a sum and nothing else; rows themselves stay where they are.
     """
     ordered = in_order(df, [order]).withColumn("__batch", F.floor(F.col("row") / check_every))
     totals = ordered.groupBy("__batch").agg(F.sum(size).alias("n"), F.count(F.lit(1)).alias("rows"))
 
-    def fold(batches: pd.DataFrame) -> pd.DataFrame:
-        index, total, out_rows = 0, 0, []
-        for b, n, rows in batches.sort_values("__batch").itertuples(index=False):
-            out_rows.append((b, index))
-            total += n
-            if total >= limit and rows == check_every:
-                index, total = index + 1, 0
-        return pd.DataFrame(out_rows, columns=["__batch", out])
-
-    indexes = totals.groupBy(F.lit(0)).applyInPandas(lambda p: fold(p), f"__batch bigint, {out} int")
-    return ordered.join(indexes, "__batch").drop("__batch", "row")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = total = 0
+        for part in batches:
+            found = []
+            for n, rows in zip(part["n"], part["rows"], strict=True):
+                found.append(index)
+                total += n
+                if total >= limit and rows == check_every:
+                    index, total = index + 1, 0
+            yield pd.DataFrame({"__batch": part["__batch"], out: found})
+
+    in_turn = totals.repartition(1).sortWithinPartitions("__batch")
+    return ordered.join(in_turn.mapInPandas(fold, f"__batch bigint, {out} int"), "__batch").drop("__batch", "row")
 
 
 def min_max(c: Column, over) -> Column:

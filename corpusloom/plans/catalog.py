@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import dedup_queries, text_queries
+from corpusloom.plans import dedup_queries, stats_queries, text_queries, web_queries
 from corpusloom.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "dedup_queries", "text_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "dedup_queries", "stats_queries", "text_queries", "web_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean all documents, drop copies, and count lines and words by source."""
-    return QUERIES["clean_pipeline"](spark, sf_dir)
+    return QUERIES["flagship"](spark, sf_dir)
