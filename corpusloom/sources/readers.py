@@ -36,7 +36,7 @@ def text_folder(spark: SparkSession, path: str, glob: str = "*.txt", exclude: tu
     Lines are numbered in each file by their place; files are read whole by a task each, for a
     file's lines have no order across splits.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     named = files.select(F.col("_metadata.file_path").alias("path"), "value")
     for folder in exclude:
         named = named.where(~F.contains("path", F.lit(f"/{folder}/")))
