@@ -1,13 +1,16 @@
-"""What the operators of this subpackage share: tables, lineage cuts and code shipping."""
+"""What the operators of this subpackage share: tables, code shipping and joins by id; lineage cuts and order are the library's."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ordering import cut, in_order
+
+__all__ = ["cut", "in_order", "ship_code", "signed", "table", "with_ids"]
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -23,20 +26,6 @@ def ship_code(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files.
-
-    The rows are computed once, and an executor that is lost later costs a read of files, not a
-    new run of what came before. The session's spark.checkpoint.dir is used; a folder of our own
-    is set only where the session has none.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def signed(value: int) -> int:
     """The signed 64-bit integer with the bits of an unsigned one."""
     return value - (1 << 64) if value >= 1 << 63 else value
@@ -52,36 +41,3 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str, once: bool = False) -> D
     keys = ids.select(F.coalesce(F.col("doc_id").cast("bigint"), null).alias(key)).distinct()
     kept = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), null)).join(keys, key, how)
     return (kept.dropDuplicates([key]) if once else kept).drop(key)
-
-
-def in_order(df: DataFrame, order: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
-    """df with `row`, its place from 0 in the order, and for each column c of sums `c_before` and `c_total`.
-
-    Rows are dealt by range and numbered and summed within their part; the parts' totals, a row a
-    part, are summed up in one place. Rows alike in `order` are spread over parts by a last key and
-    ordered at will. The result is of files, so that all that reads it sees the same order.
-    """
-    keys = [*order, "__tie"]
-    placed = cut(
-        df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
-    )
-    totals = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"), *[F.sum(c).alias(f"__{c}") for c in sums])
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
-    offsets = totals.select(
-        "__part",
-        F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__rows"),
-        *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums],
-        *[F.sum(f"__{c}").over(everything).alias(f"{c}_total") for c in sums],
-    )
-    within = Window.partitionBy("__part").orderBy(*keys)
-    upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.select(
-        "*",
-        (F.row_number().over(within) - 1).cast("bigint").alias("row"),
-        *[(F.sum(c).over(upto) - F.col(c)).alias(f"{c}_before") for c in sums],
-    )
-    joined = ranked.join(offsets, "__part").withColumn("row", F.col("row") + F.col("__rows"))
-    for c in sums:
-        joined = joined.withColumn(f"{c}_before", F.col(f"{c}_before") + F.col(f"__{c}"))
-    return joined.drop("__part", "__tie", "__rows", *[f"__{c}" for c in sums])

@@ -25,15 +25,23 @@ PAGES, ROUNDS, RATE, DECAY = 1200, 4, 0.3, 2e-4  # of the training
 ROWS = 64  # pages decoded at once
 
 
+#: What articles stand in, and tags that mean one thing in it and another outside.
+ARTICLE = frozenset("t=article t=main r=main c=content c=post c=entry c=story c=text k=arti k=cont".split())
+TWOFOLD = "header footer section h1 h2 p li div".split()
+
+
 def block_features(chain: list[Block]) -> list[set[str]]:
     """Names of the features of each block of a page."""
-    out = []
+    out, any_article = [], any(not ARTICLE.isdisjoint(b.above) for b in chain)
     for at, block in enumerate(chain):
         text = block.text
+        place = "in" if not ARTICLE.isdisjoint(block.above) else "out" if any_article else "none"
         words = text.count(" ") + 1
         size = min(5, int(math.log2(words)))
         density = block.linked / max(1, len(text))
         own = {f"p={block.tag}", f"pp={block.parent}>{block.tag}", f"w={size}", f"l={min(3, int(density * 4))}", f"end={text[-1] in '.!?:;'}"}
+        own.add(f"place={place}")
+        own.update(f"{place}&{t}" for t in TWOFOLD if f"t={t}" in block.above)
         own.add(f"at={min(3, at)}")
         own.add(f"left={min(3, len(chain) - 1 - at)}")
         if "©" in text or text[:9].lower() == "copyright":

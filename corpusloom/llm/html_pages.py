@@ -136,11 +136,12 @@ class _Writer:
         for kind in ("advert", "sidebar", "notice", "form", "nav", "share", "comments"):
             if r.random() < 0.22:
                 inner.insert(len(inner) if kind in ("comments", "share") and r.random() < 0.7 else r.randint(0, len(inner)), self.outside(kind))
-        before = [self.outside(k) for k in ("header", "nav", "advert", "notice", "form", "sidebar") if r.random() < 0.45]
-        after = [self.outside(k) for k in ("share", "comments", "sidebar", "advert", "form", "notice") if r.random() < 0.4]
+        much = r.choice([0.0, 0.2, 0.4, 0.6])  # from bare articles to crowded pages
+        before = [self.outside(k) for k in ("header", "nav", "advert", "notice", "form", "sidebar") if r.random() < much]
+        after = [self.outside(k) for k in ("share", "comments", "sidebar", "advert", "form", "notice") if r.random() < much]
         r.shuffle(before)
         r.shuffle(after)
-        foot = self.outside("footer") if r.random() < 0.8 else ""
+        foot = self.outside("footer") if r.random() < 2 * much else ""
         wrap = r.choice([("", "")] * 3 + [("<div class='container'>", "</div>"), ("<div id='page'>", "</div>"), ("<table><tr>", "</table>")])
         body = wrap[0] + "".join(before) + start + title + "".join(inner) + stop + "".join(after) + wrap[1] + foot
         return f"<!DOCTYPE html><html><head><title>{self.some(1, 8)}</title><script>var t='</p>';</script></head><body>{body}{r.choice(['</body></html>', ''])}"
