@@ -13,6 +13,15 @@ ORACLE_SQL: dict[str, str] = {}
 Read = Callable[[str], DataFrame]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is of fewer files than there are cores: one small file is one task.
+
+    A large table has more files than that and stays as it is read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def query(sql: str | None = None, name: str | None = None) -> Callable:
     """Register a function of a table reader as a query of (spark, sf_dir)."""
 
@@ -20,7 +29,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
         key = name or make.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return make(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return make(lambda table: spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")))
 
         run.__name__, run.__doc__ = key, make.__doc__
         QUERIES[key] = run
