@@ -3,7 +3,8 @@
 Passages of 32 words are TF-IDF vectors over hashed words. One pass counts passages by word, one
 sketches A'A of the passage matrix A against a random test matrix, from which the driver gets the
 leading right singular vectors (a randomised SVD by the Nystrom formula, in one pass). A third pass
-folds overlapping windows into that space, looks up items by cosine and checks what it finds.
+folds overlapping windows into that space, looks up items by cosine and checks what it finds. Beside
+it, windows with five words on end of an item are looked at whatever their cosine.
 
 Cost at scale: three narrow scans. What moves is a count a word bucket and a row of the sketch a
 bucket from each task, summed in the JVM with bounded memory; the driver gets those sums, whose
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ from .wordhash import Words, mix, utf8, words
 BUCKET_BITS = 13  # hashed words that passages are vectors over
 RANK, OVERSAMPLE = 112, 16  # dimensions kept, and more that the sketch has
 STEP = 16  # words between windows; a window, as a passage, has two steps
-STOP_SHARE = 0.02  # words in more of the passages say nothing of their subject and have no weight
+GRAM = 5  # words on end of an item that are looked for as they are
+GRAM_BITS = 20
 PART = 48  # an item is looked up in parts of so many words at most
 SCALE = 1 << 16  # sketch entries are summed as whole multiples of 1 / SCALE, so order doesn't matter
 ITEM_BLOCK = 4096  # items looked up in one scan, in expectation
@@ -159,7 +162,8 @@ def latent_space(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     All passages of all rows count. Without any words all vectors are 0 and nothing is found.
     """
     counts, total = passage_frequencies(docs, text_col)
-    idf = np.where(counts > STOP_SHARE * total, 0.0, np.log((total + 1) / (counts + 1.0))).astype(np.float32)
+    # Never 0: a leak in very many rows must not make its own words weightless.
+    idf = np.log1p(total / np.maximum(counts, 1.0)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     names = [f"c{k}" for k in range(WIDTH)]
     schema = "bucket bigint, " + ", ".join(f"{c} bigint" for c in names)
@@ -192,13 +196,18 @@ class Item:
     words: list[int]
     answer: list[int]
 
+    @cached_property
+    def counts(self) -> Counter:
+        return Counter(self.words)
+
 
 @dataclass
 class Index:
     """Items with their parts' unit vectors in latent space, and the words' vectors.
 
     A part's words of weight are marks in one hash table for all parts; need is how many of them a
-    window must have.
+    window must have. grams are the parts' runs of GRAM words on end, sorted, gram_part whose they
+    are, and gram_marks tells most others from them by their leading bits.
     """
 
     items: list[Item]
@@ -207,15 +216,37 @@ class Index:
     latent: np.ndarray
     need: np.ndarray
     marked: np.ndarray
+    grams: np.ndarray
+    gram_part: np.ndarray
+    gram_marks: np.ndarray
+
+    def verbatim(self, found: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(word, part) where a run of words of a part begins."""
+        runs = _grams(found.hashes)
+        at = np.flatnonzero(self.gram_marks[runs >> np.uint64(64 - GRAM_BITS)]) if len(self.grams) else np.zeros(0, np.int64)
+        at = at[np.searchsorted(found.offsets, at, "right") == np.searchsorted(found.offsets, at + GRAM - 1, "right")]
+        first, last = (np.searchsorted(self.grams, runs[at], side) for side in ("left", "right"))
+        n = last - first
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), self.gram_part[np.repeat(first, n) + inside]
 
     def places(self, hashes: np.ndarray, parts: np.ndarray) -> np.ndarray:
         bits = len(self.marked).bit_length() - 1
         return (mix(hashes + parts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _grams(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of every GRAM words on end."""
+    n = max(0, len(hashes) - GRAM + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+    return mix(out)
+
+
 def build_index(rows: list[tuple[int, str, str | None]], latent: np.ndarray, checks: Checks) -> Index:
     """Rows are (item_id, text, answer or None: the last quarter of the words, three at least)."""
-    items, owner, vectors, need, keys = [], [], [], [], []
+    items, owner, vectors, need, keys, runs = [], [], [], [], [], []
     weighs = latent.any(axis=1)
     if rows:
         found, buckets = _words(pa.array([r[1] for r in rows], pa.string()))
@@ -231,11 +262,19 @@ def build_index(rows: list[tuple[int, str, str | None]], latent: np.ndarray, che
                 own_words = np.unique(found.hashes[part[weighs[buckets[part]]]])
                 keys.append((len(owner), own_words))
                 need.append(checks.shared * len(own_words))
+                # Every part's runs, one after the other, and its last words.
+                own_runs = _grams(found.hashes[part])
+                runs += [(run, len(owner)) for run in {*own_runs[::GRAM].tolist(), *own_runs[-1:].tolist()}]
                 owner.append(len(items))
             items.append(Item(item_id, own, tail))
     matrix = np.array(vectors, np.float32).reshape(len(vectors), latent.shape[1])
     size = 1 << max(20, (32 * sum(len(w) for _, w in keys)).bit_length())
-    index = Index(items, np.array(owner, np.int64), _unit(matrix), _with_zero(latent.astype(np.float32)), np.array(need), np.zeros(size, bool))
+    runs.sort()
+    grams, gram_part, gram_marks = np.array([r for r, _ in runs], np.uint64), np.array([p for _, p in runs], np.int64), np.zeros(1 << GRAM_BITS, bool)
+    gram_marks[grams >> np.uint64(64 - GRAM_BITS)] = True
+    index = Index(
+        items, np.array(owner, np.int64), _unit(matrix), _with_zero(latent.astype(np.float32)), np.array(need), np.zeros(size, bool), grams, gram_part, gram_marks
+    )
     for part, own_words in keys:
         index.marked[index.places(own_words, np.full(len(own_words), part))] = True
     return index
@@ -281,7 +320,10 @@ def verify(item: Item, region: list[int], checks: Checks) -> tuple[float, float,
     """(share of the item, share of the answer, first and last place) if the region leaks the item."""
     n = len(item.words)
     need = checks.lcs * n
-    have, want = Counter(region), Counter(item.words)
+    want = item.counts
+    if sum(map(want.__getitem__, want.keys() & set(region))) < need:  # the quick bound first
+        return None
+    have = Counter(region)
     if sum(min(c, have[w]) for w, c in want.items()) < need or common_subsequence(item.words, region) < need:
         return None
     places = _matched(item.words, region)
@@ -330,8 +372,13 @@ def _look_up(texts: pa.Array, index: Index, checks: Checks) -> Iterator[tuple[in
     at, part = np.nonzero(cosines >= checks.cosine)
     cosine, at = cosines[at, part], windows[at]
     kept = _share_words(found, buckets, starts[at], found.offsets[text[at] + 1], part, index)
+    # Runs of an item's words are looked at in the window that they begin in, whatever its cosine.
+    begins, run_part = index.verbatim(found)
+    window = np.searchsorted(windows, np.searchsorted(starts, begins, "right") - 1, "right") - 1
+    at, part = np.concatenate((at[kept], windows[window])), np.concatenate((part[kept], run_part))
+    cosine = np.concatenate((cosine[kept], cosines[window, run_part]))
     near: dict[tuple[int, int], list[tuple[int, float]]] = {}
-    for w, p, c in zip(at[kept].tolist(), part[kept].tolist(), cosine[kept].tolist(), strict=True):
+    for w, p, c in zip(at.tolist(), part.tolist(), cosine.tolist(), strict=True):
         near.setdefault((int(text[w]), int(index.owner[p])), []).append((int(starts[w]), c))
     for (row, which), hits in near.items():
         item, lo, hi = index.items[which], int(found.offsets[row]), int(found.offsets[row + 1])

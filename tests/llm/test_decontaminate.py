@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from corpusloom.llm import decontaminate as D
 
@@ -89,6 +90,32 @@ def test_brute_force_finds_no_more(spark):
     assert len(brute - got) <= 0.1 * len(brute) and got <= brute
 
 
+def test_a_leak_in_a_third_of_all_rows(spark):
+    docs, items, truth = corpus()
+    hot = [(1000 + k, docs[4][1]) for k in range(len(docs) // 2)]
+    table = spark.createDataFrame([(d, t) for d, t, _ in docs] + hot, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(table, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len(truth - got) <= 1, truth - got
+    assert got - truth == {(d, 1) for d, _ in hot}
+
+
+def test_a_table_of_one_document(spark):
+    docs, items, _ = corpus()
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for number, item in ((4, 1), (8, 2)):
+        table = spark.createDataFrame([(number, docs[number][1])], "doc_id bigint, text string")
+        assert [(r.doc_id, r.item_id) for r in D.find_leaks(table, bench).collect()] == [(number, item)]
+
+
+def test_runs_of_words_are_looked_at_without_weight():
+    """Verbatim items are found even in a space where no word has a vector."""
+    docs, items, truth = corpus()
+    checks = D.Checks()
+    index = D.build_index([(i, t, None) for i, t in items], np.zeros((D.BUCKETS, D.RANK)), checks)
+    found = {(docs[row][0], item) for row, item, *_ in D._look_up(pa.array([t for _, t, _ in docs]), index, checks)}
+    assert found <= truth and {(d, i) for d, i in truth if d % 8} <= found
+
+
 def test_answers(spark):
     docs, _, _ = corpus()
     question = "what is the name of the river that runs through the old town of the north"
