@@ -1,7 +1,7 @@
-"""Licence scans: sparse TF-IDF cosine of lines to templates, and inheritance from licence files.
+"""Licence scans: sparse TF-IDF cosine of lines, blocks and sentences to templates, and inheritance from licence files.
 
-DataFrame operations only. Cost at scale: one scan of texts for lines that can match at all; each
-different such line is scored once, however often it is repeated; inheritance joins directories, of
+DataFrame operations only. Cost at scale: one scan of texts for units that can match at all: lines,
+blocks of lines and their sentences however they are wrapped, and licence files; each different unit is scored once, however often it is repeated; inheritance joins directories, of
 which there are far fewer than files, to their ancestors by path.
 """
 
@@ -51,6 +51,8 @@ WORD = r"[a-z0-9]+"
 STOP_WORDS = "a an and any are as at be by do for from in is it may not of on or so that the this to under use via whom with without work you your".split()
 THRESHOLD = 0.8  # least cosine of a line and a template
 FILE_SHARE = 0.5  # a file is a licence file if so much of its words are in matching lines
+#: Lines that aren't comments, and comments without words.
+NO_COMMENT = r"(?m)^(?![ \t]*(?:#|//|/?\*|--|;|%|<!--)[^\n]*[A-Za-z0-9]).+$"
 FILE_NAME = r"(?i)^(un)?licen[cs]e|^copying"
 
 
@@ -94,25 +96,52 @@ def guard_words(rows: list[tuple[int, str, str, float]], threshold: float) -> li
     return sorted(chosen)
 
 
-def _line_column(threshold: float, templates: dict[str, list[str]]) -> tuple[Column, Column]:
-    """Of a column `text`: the words of each line that can match, and the number of words of a text that has such lines."""
+def _unit_column(name: Column, threshold: float, templates: dict[str, list[str]]) -> tuple[Column, Column]:
+    """Of a column `text`: (kind, words) of each unit that can match, and the number of words of a text that has such units.
+
+    Units are lines; blocks of lines up to one without letters and digits, of all lines and of those
+    in comments alone; sentences of blocks; and the whole text if the file's name is a licence's.
+    Comment marks aren't words.
+    """
     guard = r"(?i)(?<![a-z0-9])(?:" + "|".join(guard_words(template_weights(templates)[0], threshold)) + r")(?![a-z0-9])"
-    may = F.col("text").rlike(guard)
-    lines = F.transform(
-        F.filter(F.split("text", r"[\r\n]+"), lambda line: line.rlike(guard)),
-        lambda line: F.array_join(F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"), F.lit(1)), " "),
+    text, may = F.col("text"), F.col("text").rlike(guard)
+
+    known = sorted(set(template_weights(templates)[1]) - set(STOP_WORDS))
+
+    def fits(words: Column) -> Column:
+        """Without loss: other words, of the greatest weight, may have 1 - threshold ** 2 of a unit's square at most."""
+        own = F.filter(words, lambda w: w.isin(known))
+        square = F.aggregate(F.array_distinct(own), F.lit(0.0), lambda sum_, w: sum_ + F.pow(F.size(F.filter(own, lambda x: x == w)), F.lit(2.0)))
+        other = F.size(F.array_distinct(F.filter(words, lambda w: ~w.isin(known + STOP_WORDS))))
+        return other * threshold**2 <= (1 - threshold**2) * square + 1e-9
+
+    def units(kind: str, parts: Column) -> Column:
+        found = F.transform(F.filter(parts, lambda part: part.rlike(guard)), lambda part: F.regexp_extract_all(F.lower(part), F.lit(f"({WORD})"), F.lit(1)))
+        found = found if kind == "line" else F.filter(found, fits)
+        return F.transform(found, lambda words: F.struct(F.lit(kind).alias("kind"), F.array_join(words, " ").alias("line")))
+
+    plain = F.regexp_replace(text, r"\r\n?", "\n")
+    blocks = F.array_distinct(
+        F.concat(*[F.split(F.regexp_replace(plain, other, ""), r"\n{2,}") for other in (r"(?m)^[^A-Za-z0-9\n]+$", NO_COMMENT)])
     )
+    blocks = F.filter(blocks, lambda part: part.rlike(guard))
+    sentences = F.flatten(F.transform(blocks, lambda block: F.split(block, r"(?<=[.:;!?])\s+")))
+    whole = F.when(name.rlike(FILE_NAME), F.array(text)).otherwise(F.array().cast("array<string>"))
+    joined = F.array_distinct(F.concat(units("block", F.filter(blocks, lambda block: block.contains("\n"))), units("sentence", sentences), units("whole", whole)))
+    # Lines stay as often as they are repeated: their words count for the file's share.
+    found = F.concat(units("line", F.split(text, r"[\r\n]+")), joined)
     count = F.regexp_count(F.lower("text"), F.lit(WORD))
-    return F.when(may, lines), F.when(may, count)
+    return F.when(may, found), F.when(may, count)
 
 
 def match_lines(lines: DataFrame, threshold: float, templates: dict[str, list[str]]) -> DataFrame:
-    """(file_key, line) -> (file_key, license, cosine, n_words) of each line that matches a template."""
+    """(file_key, kind, line) -> (file_key, kind, license, cosine, n_words) of each line that matches a template."""
     spark = lines.sparkSession
     rows, idf, other = template_weights(templates)
-    # Each different line is scored once.
+    # Each different line is scored once, under a digest: its words don't carry it along.
+    lines = lines.select("file_key", "kind", F.md5(F.col("line").cast("binary")).alias("digest"), "line")
     words = (
-        lines.select("line").distinct().select("line", F.explode(F.split("line", " ")).alias("word")).groupBy("line", "word").agg(F.count(F.lit(1)).alias("n"))
+        lines.select("digest", "line").distinct().select(F.col("digest").alias("line"), F.explode(F.split("line", " ")).alias("word")).groupBy("line", "word").agg(F.count(F.lit(1)).alias("n"))
     )
     known = spark.createDataFrame(sorted((idf | dict.fromkeys(STOP_WORDS, 0.0)).items()), "word string, idf double")
     weighed = words.join(F.broadcast(known), "word", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(other)))
@@ -127,7 +156,7 @@ def match_lines(lines: DataFrame, threshold: float, templates: dict[str, list[st
         .agg(F.max(F.struct("cosine", F.col("license").alias("license"))).alias("best"))
         .select("line", "n_words", "best.*")
     )
-    return lines.join(best, "line").select("file_key", "license", "cosine", "n_words")
+    return lines.select("file_key", "kind", F.col("digest").alias("line")).join(best, "line").select("file_key", "kind", "license", "cosine", "n_words")
 
 
 def nearest_ancestors(directories: DataFrame, licensed: DataFrame) -> DataFrame:
@@ -152,32 +181,35 @@ def license_scan(
 
     Returns the columns `passed` (path, if None), license (several: in order, joined by AND; none:
     null), cosine (the best line's, of an own licence), origin ('header', 'file', 'ancestor' or
-    'none') and license_dir. A line matches the template of the greatest cosine, of equals the last
+    'none') and license_dir. A unit (line, block, sentence or licence file) matches the template of the greatest cosine, of equals the last
     licence by name. A file is a licence file if its name says so or file_share of its words are in
-    matching lines. Null and empty texts have no licence of their own; a null path is a file in the
+    matching units of a kind. Null and empty texts have no licence of their own; a null path is a file in the
     root. Repeated rows stay; rows with the same path and text count once for their directory. An
     empty table gives no rows; other columns are ignored.
     """
     path = F.coalesce(F.col("path"), F.lit(""))
-    lines, words = _line_column(threshold, templates)
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    units, words = _unit_column(name, threshold, templates)
     # The only scan of texts; what goes on is narrow.
     rows = cut(
         files.select(
             F.struct(*(passed or ["path"])).alias("row"),
             F.monotonically_increasing_id().alias("file_key"),
             F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("directory"),
-            F.regexp_extract(path, r"([^/]*)$", 1).alias("name"),
-            lines.alias("lines"),
+            name.alias("name"),
+            units.alias("units"),
             words.alias("words"),
         )
     )
     own = (
-        match_lines(rows.select("file_key", F.explode("lines").alias("line")), threshold, templates)
-        .groupBy("file_key")
-        .agg(F.array_join(F.array_sort(F.collect_set("license")), " AND ").alias("license"), F.max("cosine").alias("cosine"), F.sum("n_words").alias("licence_words"))
+        match_lines(rows.select("file_key", F.inline("units")), threshold, templates)
+        .groupBy("file_key", "kind")
+        .agg(F.collect_set("license").alias("licenses"), F.max("cosine").alias("cosine"), F.sum("n_words").alias("licence_words"))
+        .groupBy("file_key")  # units of different kinds overlap, so the fullest kind's words count
+        .agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("licenses")))), " AND ").alias("license"), F.max("cosine").alias("cosine"), F.max("licence_words").alias("licence_words"))
     )
     marked = cut(
-        rows.drop("lines").join(own, "file_key", "left").withColumn(
+        rows.drop("units").join(own, "file_key", "left").withColumn(
             "is_file", F.col("license").isNotNull() & (F.col("name").rlike(FILE_NAME) | (F.col("licence_words") >= F.col("words") * file_share))
         )
     )

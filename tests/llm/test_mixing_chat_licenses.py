@@ -114,3 +114,20 @@ def test_licences(spark):
     none = license_scan(spark.createDataFrame([("p/a", "nothing")], "path string, text string")).first()
     assert (none.license, none.origin) == (None, "none")
     assert license_scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_wrapped_notices(spark):
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy", 'of this software and associated documentation files (the "Software"), to deal', "in the Software without restriction, including without limitation the rights", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell", "copies of the Software, and to permit persons to whom the Software is", "furnished to do so, subject to the following conditions:"]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are", "met:"]
+    code = ["import os", "for line in lines:", "    print(line, os.sep, again, and, more, of, the, code)"] * 6
+    rows = [
+        ("g/a.py", "\n".join([f"# {x}" for x in gpl] + code)), ("g/b.c", "/*\r\n * Copyright (C) 2020 A. Body\r\n *\r\n" + "\r\n".join(f" * {x}" for x in gpl) + "\r\n */\r\nint x;" + "\r\nint y = 1;" * 60),
+        ("m/LICENSE", "MIT License\n\nCopyright (c) 2020 A. Body\n\n" + "\n".join(mit)), ("m/src/x.py", "code"),
+        ("b/c.js", "\n".join(code + [f"// {x}" for x in [*bsd, "1. Keep this notice."]] + code)), ("n/none.py", "\n".join(code)),
+    ]
+    got = {r.path: (r.license, r.origin) for r in license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {
+        "g/a.py": ("GPL-3.0", "header"), "g/b.c": ("GPL-3.0", "header"), "m/LICENSE": ("MIT", "file"), "m/src/x.py": ("MIT", "ancestor"),
+        "b/c.js": ("BSD-3-Clause", "header"), "n/none.py": (None, "none"),
+    }
