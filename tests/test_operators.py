@@ -152,6 +152,14 @@ def test_bpe_matches_a_plain_loop(spark):
     assert packed.x == [7, 8, 9, 3, 0, 0] and packed.y == [-100, 9, 3, -100, -100, -100]
 
 
+def test_bpe_counts_rare_pieces(spark):
+    """Pieces beyond those on the driver count as well: here all the pairs of 'qz' are in rare ones."""
+    text = "low low low lower lower " + " ".join(f"qz{c}qz" for c in "abcdefgh") + " aaaa aaaaa"
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    whole, few = (B.train_bpe(df, F.col("text"), 30, max_pieces=m) for m in (B.MAX_PIECES, 2))
+    assert few.merges == whole.merges and few.vocab == whole.vocab and ("q", "z") in few.merges
+
+
 def test_web(spark):
     page = "<nav>menu</nav><article><p>short</p><p>A paragraph that is long enough &amp; kept.</p></article><a href='/x?y#z'>l</a><a href='https://o.org/q'>m</a>"
     df = spark.createDataFrame([("https://h.org/a/b?c", page)], "url string, html string")
