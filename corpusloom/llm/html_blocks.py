@@ -8,13 +8,15 @@ from dataclasses import dataclass
 
 #: Tags that do not begin or end a block of text.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby "
-    "s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img input ins kbd label mark math object q rp rt ruby "
+    "s samp small span strike strong sub sup svg time tt u var video wbr".split()
 )
 #: Tags without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Tags whose content is not text of the page, up to their end tag.
-RAW = frozenset("script style textarea title iframe noembed noframes xmp template svg math select object canvas audio video".split())
+#: Tags whose content is raw text, not of the page, up to their end tag or the end of the page.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Elements whose text is left out, up to where they or an ancestor end.
+SKIPPED = frozenset("template select".split())
 #: A start tag that ends an open element of these kinds, up to one of the others.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -26,10 +28,10 @@ IMPLIED = {
     "option": ({"option"}, {"select"}),
 }
 
-_TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.DOTALL,
-)
+_START = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_COMMENT_END = re.compile(r"--!?>")
+_TAG_NAME = re.compile(r"[^\s/>]*")
+_IN_TAG = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -63,93 +65,173 @@ def _attribute_features(attributes: str) -> list[str]:
     return out
 
 
+class _Scanner:
+    """Cuts a page into text and tags in time proportional to its length.
+
+    A tag ends at the first > outside quotes. If there is none, because a quote isn't closed, it ends
+    at the first > at all; looking for quotes in vain may pass over as many characters as the page
+    has, and once they are used up tags end at the first >. Without a > after it, a < is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.vain = page, page.rfind(">"), len(page)
+        self.last_quote = {q: page.rfind(q) for q in "\"'"}
+        self.raw_end: dict[str, re.Pattern] = {}
+        self.raw_none: set[str] = set()
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose name ends at `at` has its >."""
+        page, place = self.page, at
+        while self.vain > 0:
+            found = _IN_TAG.search(page, place)
+            if found is None:
+                break
+            mark = found[0]
+            if mark == ">":
+                return found.start()
+            if self.last_quote[mark] <= found.start():
+                place = len(page)
+                break
+            place = page.find(mark, found.end()) + 1
+        self.vain -= min(place, len(page)) - at
+        return page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, str, str]:
+        """(where text from `at` ends, where to go on, '/' or '', tag or '', attributes); a tag '' is only skipped."""
+        page = self.page
+        found = _START.search(page, at)
+        while found:
+            begin = found.start()
+            kind = found[0]
+            if kind == "<!--":
+                if page.startswith((">", "->"), begin + 4):
+                    return begin, page.index(">", begin) + 1, "", "", ""
+                stop = _COMMENT_END.search(page, begin + 4)
+                return begin, stop.end() if stop else len(page), "", "", ""
+            if begin > self.last:
+                break
+            if kind in ("<!", "<?"):
+                return begin, page.index(">", begin) + 1, "", "", ""
+            shut = "/" if kind[1] == "/" else ""
+            name = _TAG_NAME.match(page, begin + 1 + len(shut))
+            end = self.tag_end(name.end())
+            return begin, end + 1, shut, name[0].lower(), page[name.end() : end]
+        return len(page), len(page), "", "", ""
+
+    def after_raw(self, tag: str, at: int) -> int:
+        """Where the raw text of an element ends, with its end tag."""
+        if tag in self.raw_none:
+            return len(self.page)
+        if tag not in self.raw_end:
+            self.raw_end[tag] = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE)
+        stop = self.raw_end[tag].search(self.page, at)
+        if stop is None or stop.start() > self.last:
+            self.raw_none.add(tag)
+            return len(self.page)
+        return self.page.index(">", stop.end()) + 1
+
+
+@dataclass
+class _Open:
+    """An open element: features down to it, the nearest block tags, and where the nearest block is in the stack."""
+
+    tag: str
+    above: frozenset[str]
+    block: str
+    parent: str
+    block_at: int
+
+
+_ROOT = _Open("", frozenset(), "", "", -1)
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order; comments, scripts, styles and other raw content are left out.
+    """The page's text blocks in order; comments, scripts, styles, options and other raw content are left out.
 
     Character references are decoded. Inline tags and comments join the text at both sides as it
-    is, a line break is white space, any other tag ends a block. Broken markup is read as browsers
-    do: missing end tags are implied, end tags without a start ignored.
+    is, a line break is white space, any other tag ends a block. Broken markup is read much as
+    browsers do: missing end tags are implied, end tags without a start ignored, and a raw element
+    without an end tag takes the rest of the page. Time is in proportion to the page's length,
+    however it is nested or broken.
     """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []  # open elements and the features down to them
+    stack: list[_Open] = []
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
     known: dict[tuple, frozenset[str]] = {}
+    scan = _Scanner(page)
+
+    def top() -> _Open:
+        return stack[-1] if stack else _ROOT
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
 
     def end_block() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            tags = [tag for tag, _ in stack if tag not in INLINE]
-            out.append(Block(text, stack[-1][1] if stack else frozenset(), tags[-1] if tags else "", tags[-2] if len(tags) > 1 else "", linked))
+            now = top()
+            out.append(Block(text, now.above, now.block, now.parent, linked))
         linked = 0
 
     def close(depth: int) -> None:
-        nonlocal links
-        links -= sum(tag == "a" for tag, _ in stack[depth:])
+        for element in stack[depth:]:
+            places[element.tag].pop()
         del stack[depth:]
 
+    def open_(element: _Open) -> None:
+        places.setdefault(element.tag, []).append(len(stack))
+        stack.append(element)
+
     at, end = 0, len(page)
     while at < end:
-        found = _TOKEN.search(page, at)
-        text = page[at : found.start() if found else end]
-        if text:
+        upto, further, shut, tag, attributes = scan.next(at)
+        if upto > at and last(SKIPPED) < 0:
+            text = page[at:upto]
             text = entities.unescape(text) if "&" in text else text
             parts.append(text)
-            linked += links and len(text)
-        if not found:
-            break
-        at = found.end()
-        shut, tag, attributes = found[1], found[2], found[3]
-        if tag is None:
-            shut, tag, attributes = found[4], found[5], found[6]
-            if tag is None:
-                continue
-        tag = tag.lower()
+            linked += len(text) if places.get("a") else 0
+        at = further
+        if not tag:
+            continue
         if tag == "br":
             parts.append(" ")
             continue
         if shut:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            depth = last((tag,))
             if tag in INLINE:
-                # An inline end tag closes no block.
-                if depth is not None and all(t in INLINE for t, _ in stack[depth:]):
+                if depth > top().block_at:  # an inline end tag closes no block
                     close(depth)
                 continue
             end_block()
-            if depth is not None:
+            if depth >= 0:
                 close(depth)
             continue
+        if tag in RAW:
+            end_block()
+            at = scan.after_raw(tag, at)
+            continue
         if tag not in INLINE:
             end_block()
-            if tag in RAW:
-                if not attributes.endswith("/") or tag not in ("svg", "math"):
-                    stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-                    at = stop.end() if stop else end
-                continue
             if tag in IMPLIED:
                 ended, scope = IMPLIED[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in scope:
-                        break
-                    if stack[i][0] in ended:
-                        close(i)
-                        break
-            elif tag not in VOID:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
-                if depth is not None and stack[depth][0] == "p":
+                depth = last(ended)
+                if depth > last(scope):
                     close(depth)
-        if tag in VOID:
+            elif tag not in VOID and top().block == "p":
+                close(top().block_at)
+        if tag in VOID or attributes.endswith("/") and tag in ("svg", "math"):
             continue
-        links += tag == "a"
-        above = stack[-1][1] if stack else frozenset()
+        now = top()
         if tag in INLINE:
-            stack.append((tag, above))
+            open_(_Open(tag, now.above, now.block, now.parent, now.block_at))
             continue
-        key = (above, tag, attributes)
+        key = (now.above, tag, attributes)
         if key not in known:
-            known[key] = above | {f"t={tag}", *_attribute_features(attributes)}
-        stack.append((tag, known[key]))
+            known[key] = now.above | {f"t={tag}", *_attribute_features(attributes)}
+        open_(_Open(tag, known[key], tag, now.block, len(stack)))
     end_block()
     return out
