@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import ship_code
 
@@ -22,13 +23,18 @@ ROWS = 256  # texts decoded at once
 CACHE = 400_000  # pieces whose counts a worker keeps
 LONG_PIECE = 64  # longer pieces are merged each time rather than kept
 
+#: Characters whose case, class and composition don't depend on a Unicode version, and most texts have no others.
+_OTHERS = re.compile("[^\0-\u024f\u2010-\u2027\u20ac]")
+
 
 class MergeCounter:
     """Counts tokens as a vocabulary file's library gives them, without making their ids.
 
     The file holds merges in rank order, an end-of-word suffix, a split pattern, a normaliser
     (NFC and lower case) and added tokens, which are cut out of the raw
-    text first and count one each.
+    text first and count one each. Texts of Latin letters and plain punctuation are lower-cased and
+    split here; for others this is left to the library, whose Unicode version is its own. Merging
+    is done here for all.
     """
 
     def __init__(self, path: str):
@@ -48,11 +54,17 @@ class MergeCounter:
         self.letters = [chr(b) if b in set(plain) else chr(next(moved)) for b in range(256)]
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.cache: dict[str, int] = {}
+        library = Tokenizer.from_file(path)
+        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.cache: dict[str, int] = {}  # of pieces as they are
+        self.spelt: dict[str, int] = {}  # of pieces in the byte-level alphabet
 
     def piece(self, piece: str) -> int:
-        """Tokens of one piece: its symbols less the merges done, lowest rank and leftmost first."""
-        symbols = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
+        """Tokens of one piece."""
+        return self.merge([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])
+
+    def merge(self, symbols: list[str]) -> int:
+        """How many symbols are left after the merges, lowest rank and leftmost first."""
         symbols[-1] += self.suffix
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -77,22 +89,26 @@ class MergeCounter:
             merged += 1
         return n - merged
 
-    def _plain(self, text: str) -> int:
-        if not text:
-            return 0
-        if not text.isascii():  # the library lower-cases letter by letter: no final sigma
-            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
-        total, cache = 0, self.cache
-        for piece in self.pieces(text.lower()):
-            if (count := cache.get(piece)) is None:
-                count = self.piece(piece)
+    def _kept(self, pieces: Iterable[str], cache: dict[str, int], count: Callable[[str], int]) -> int:
+        total = 0
+        for piece in pieces:
+            if (n := cache.get(piece)) is None:
+                n = count(piece)
                 if len(piece) <= LONG_PIECE:
                     if len(cache) >= CACHE:
                         cache.clear()
-                    cache[piece] = count
-            total += count
+                    cache[piece] = n
+            total += n
         return total
 
+    def _plain(self, text: str) -> int:
+        if not text:
+            return 0
+        if _OTHERS.search(text) is None:
+            return self._kept(self.pieces(text.lower()), self.cache, self.piece)
+        pieces = (piece for piece, _ in self.split(self.normalize(text)))
+        return self._kept(pieces, self.spelt, lambda piece: self.merge(list(piece)))
+
     def text(self, text: str | None) -> int:
         """Tokens of a whole text; a null text counts as empty, an empty text has none."""
         if not text:
