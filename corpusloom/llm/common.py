@@ -1,15 +1,15 @@
-"""What the operators of this subpackage share: tables, code shipping and joins by id; lineage cuts and order are the library's."""
+"""What the operators of this subpackage share: tables, code shipping and joins by document; lineage cuts and order are the library's."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ordering import cut, in_order
 
-__all__ = ["cut", "in_order", "ship_code", "signed", "table", "with_ids"]
+__all__ = ["cut", "in_order", "least_row", "row_key", "ship_code", "signed", "table", "with_keys"]
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -31,13 +31,22 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, how: str, once: bool = False) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is in ids ('left_semi') or is not ('left_anti').
+def row_key(docs: DataFrame) -> Column:
+    """What tells a document from others: a digest of its doc_id, null or not, and its whole text."""
+    text = F.col("text").cast("string") if "text" in docs.columns else F.lit(None).cast("string")
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(text, F.lit("")))))
 
-    A null id equals a null id. The ids become one plain key, so that the join, and with `once` the
-    choice of one row an id, share a single exchange.
+
+def least_row(docs: DataFrame) -> list[Column]:
+    """Fields that order documents: by doc_id, nulls last, and of equal ones by row_key(), the field `key`."""
+    return [F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("bigint").alias("id"), row_key(docs).alias("key")]
+
+
+def with_keys(docs: DataFrame, keys: DataFrame, how: str, once: bool = False) -> DataFrame:
+    """The rows of docs, all columns, whose row_key() is in keys (`key`; 'left_semi') or is not ('left_anti').
+
+    With `once` one row a key stays; it shares the join's exchange. Broadcast hints on keys are kept.
     """
-    key, null = "__id_key", F.lit(-(1 << 63))
-    keys = ids.select(F.coalesce(F.col("doc_id").cast("bigint"), null).alias(key)).distinct()
-    kept = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), null)).join(keys, key, how)
-    return (kept.dropDuplicates([key]) if once else kept).drop(key)
+    name = "__row_key"
+    kept = docs.withColumn(name, row_key(docs)).join(keys.withColumnRenamed("key", name), name, how)
+    return (kept.dropDuplicates([name]) if once else kept).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by budgets on a domain-language-source tree.
 
 DataFrame operations only. Cost at scale: texts are read once to count tokens; budgets are windows
-over tree nodes; a leaf's order is split into 4096 ranges of a seeded hash, so that a leaf with a
-third of all rows is summed in 4096 parts and only the range its budget ends in is sorted.
+over tree nodes; the seeded order of all leaves is one range partitioning with prefix sums from part
+totals, so that a leaf with a third of all rows, or of rows with the same or no id, is many parts.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, in_order, row_key, with_keys
 
 LEAF = ["domain", "lang", "source"]
+SMALL = 100_000  # leaves that may be broadcast
 #: Tokens are runs of other than ASCII white space.
 TOKEN = r"[^ \t\n\r\f\x0B]+"
 
@@ -103,10 +104,11 @@ def mix_sources(
     lang_weights: dict[str, int] = LANG_WEIGHTS,
     source_weights: dict[str, int] | None = None,
     domain: Column | None = None,
+    passed: tuple[str, ...] = (),
 ) -> DataFrame:
     """The documents chosen to fill budget_share of all tokens by weight, and how often each counts.
 
-    Returns doc_id, domain, lang, source, n_tokens and copies (at least 1) of chosen rows. A leaf
+    Returns doc_id, domain, lang, source, n_tokens, copies (at least 1) and the columns `passed` of chosen rows. A leaf
     is read in whole epochs while its budget lasts, then up to the budget in an epoch's order: that
     of md5(seed:epoch:doc_id). The last part ends before the first document that would pass the
     budget. A null language, source or domain is 'unknown' ('other' as a domain); a null text has no tokens; documents
@@ -120,6 +122,7 @@ def mix_sources(
             F.coalesce("lang", F.lit("unknown")).alias("lang"),
             F.coalesce("source", F.lit("unknown")).alias("source"),
             F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("bigint").alias("n_tokens"),
+            *passed,
         )
     )
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("leaf_tokens"))
@@ -135,14 +138,17 @@ def mix_sources(
     plan = cut(plan)
 
     order_key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    keyed = rows.join(plan, LEAF).withColumn("order_key", order_key).withColumn("range", F.substring("order_key", 1, 3))
-    cell = [*LEAF, "range"]
-    cells = keyed.groupBy(*cell).agg(F.sum("n_tokens").alias("cell_tokens"))
-    before = Window.partitionBy(*LEAF).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("cell_start", F.coalesce(F.sum("cell_tokens").over(before), F.lit(0)))
-    # The join has brought each cell's rows together already: the window sorts, but moves nothing.
-    running = Window.partitionBy(*cell).orderBy("order_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    ends = F.col("cell_start") + F.sum("n_tokens").over(running)
-    dealt = keyed.join(cells, cell).withColumn("part", F.when(ends <= F.col("rest"), 1).otherwise(0))
-    copies = F.least(F.col("epochs") + F.col("part"), F.lit(max_epochs)).cast("int")
-    return dealt.select("doc_id", *LEAF, "n_tokens", copies.alias("copies")).where("copies > 0")
+    keyed = rows.join(F.broadcast(plan) if plan.count() <= SMALL else plan, LEAF).withColumn("order_key", order_key)
+    # Ranges of the whole order, cut inside a leaf and among rows alike, so no leaf or key is one task.
+    placed = in_order(keyed, [*LEAF, "order_key", "doc_id", "n_tokens", *passed], ("n_tokens",))
+    starts = placed.groupBy(*LEAF).agg(F.min("n_tokens_before").alias("leaf_start"))
+    dealt = placed.join(F.broadcast(starts) if plan.count() <= SMALL else starts, LEAF)
+    ends = F.col("n_tokens_before") + F.col("n_tokens") - F.col("leaf_start")
+    copies = F.least(F.col("epochs") + F.when(ends <= F.col("rest"), 1).otherwise(0), F.lit(max_epochs)).cast("int")
+    return dealt.select("doc_id", *LEAF, "n_tokens", copies.alias("copies"), *passed).where("copies > 0")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, that mix_sources() chooses, each once; rows with the same doc_id are told apart by text."""
+    keyed = docs.select("doc_id", "text", "lang", "source", row_key(docs).alias("key"))
+    return with_keys(docs, mix_sources(keyed, passed=("key",), **options).select("key").distinct(), "left_semi")

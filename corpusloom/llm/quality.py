@@ -127,26 +127,37 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, h
         .agg(F.min("text").alias("text"))
     )
     one_task = texts.repartition(1).sortWithinPartitions("key", "label_id").select("label", "text")
-    return one_task.mapInArrow(_train_batches, "model binary").first()["model"]
+    learned = one_task.mapInArrow(_train_batches, "model binary").first()
+    return learned["model"] if learned else Ftrl().model().tobytes()  # adaptive execution runs no task for no rows
 
 
-def quality_scores(docs: DataFrame, model: bytes, passed: list[str] | None = None) -> DataFrame:
-    """The columns `passed` (all, if None) of every row and `score`, the chance of label 1.
-
-    Null and empty texts have no features and get the intercept's score. Repeated rows stay; an
-    empty table gives no rows.
-    """
+def _scored(docs: DataFrame, model: bytes, passed: list[str]) -> DataFrame:
+    """(row, score): the columns `passed` of every row, and the chance of label 1."""
     spark = docs.sparkSession
     ship_code(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = docs.select(F.struct(*(passed or docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in passed]).alias("row"), F.col("text").cast("string").alias("text"))
     schema = kept.select("row", F.lit(0.0).alias("score")).schema
-    scored = kept.mapInArrow(lambda batches: _score_batches(batches, shared.value), schema)
-    return scored.select("row.*", "score")
+    return kept.mapInArrow(lambda batches: _score_batches(batches, shared.value), schema)
+
+
+def quality_scores(docs: DataFrame, model: bytes, passed: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns `passed` (all, if None) of every row and `name`, the chance of label 1.
+
+    Null and empty texts have no features and get the intercept's score. Repeated rows stay; an
+    empty table gives no rows. A passed column called `name` is an error.
+    """
+    passed = passed or docs.columns
+    if name in passed:
+        raise ValueError(f"a column {name} is there already; name the score otherwise")
+    return _scored(docs, model, passed).select("row.*", F.col("score").alias(name))
 
 
 def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row by a model of labels outside the held-out fold."""
+    """(doc_id, held_out, score, predicted) of every row by a model of labels outside the held-out fold.
+
+    Empty tables of documents give no rows, of labels scores of 0.5; other columns are ignored.
+    """
     kept = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     scored = quality_scores(kept, fit(docs, labels, max_rows), ["doc_id"])
     return scored.select(
@@ -155,6 +166,5 @@ def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROW
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of docs, all columns, whose score reaches the threshold."""
-    columns = docs.columns
-    return quality_scores(docs, fit(docs, labels, **options), columns).where(F.col("score") >= threshold).select(*columns)
+    """The rows of docs, all columns whatever their names, whose score reaches the threshold."""
+    return _scored(docs, fit(docs, labels, **options), docs.columns).where(F.col("score") >= threshold).select("row.*")

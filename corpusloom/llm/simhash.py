@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship_code, signed, with_ids
+from .common import cut, least_row, ship_code, signed, with_keys
 from .components import connected_components
 
 BITS = 64
@@ -54,14 +54,15 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Ite
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
             prints = [signed(fingerprint(t, shingle)) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.int64())], ["row", "fp"])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the SimHash of every row's whole text as a signed 64-bit integer."""
     ship_code(docs.sparkSession)
     kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(lambda batches: _fingerprint_batches(batches, shingle), "doc_id bigint, fp bigint")
+    found = kept.mapInArrow(lambda batches: _fingerprint_batches(batches, shingle), "row bigint, fp bigint")
+    return found.withColumnRenamed("row", "doc_id")
 
 
 def ring(segments: int, max_diff: int) -> tuple[list[int], list[int]]:
@@ -136,14 +137,24 @@ def similar_fingerprints(
     return pairs.unionByName(stars)
 
 
+def group_rows(prints: DataFrame, max_diff: int = 2, segments: int = 5, bucket_limit: int = 1024) -> DataFrame:
+    """(row, fp) -> (row, fp, least): the least `row`, an orderable value, of its group."""
+    prints = cut(prints)
+    classes = prints.groupBy("fp").agg(F.min("row").alias("first_row"))
+    edges = similar_fingerprints(classes.select("fp"), max_diff, segments, bucket_limit)
+    roots = connected_components(edges)
+    rooted = cut(
+        classes.join(roots, classes["fp"] == roots["node"], "left").select(
+            "fp", "first_row", F.coalesce("root", "fp").alias("root")
+        )
+    )
+    firsts = rooted.groupBy("root").agg(F.min("first_row").alias("least"))
+    labels = rooted.join(firsts, "root").select("fp", "least")
+    return prints.join(labels, "fp").select("row", "fp", "least")
+
+
 def near_duplicate_groups(
-    docs: DataFrame,
-    shingle: int = 3,
-    max_diff: int = 2,
-    segments: int = 5,
-    bucket_limit: int = 1024,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+    docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> DataFrame:
     """(doc_id, fp, component_id) for every row: its SimHash and the least doc_id of its group.
 
@@ -151,28 +162,21 @@ def near_duplicate_groups(
     connect. A null text counts as empty; texts without words have fingerprint 0 and are linked
     like any other. Repeated rows stay and share their group; a null doc_id is kept, and is the
     group's id only if the group has no other. An empty table gives no rows; other columns are
-    ignored.
+    ignored. Options are those of similar_fingerprints().
     """
-    prints = cut(fingerprints(docs, shingle, id_col, text_col))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    edges = similar_fingerprints(classes.select("fp"), max_diff, segments, bucket_limit)
-    roots = connected_components(edges)
-    rooted = cut(
-        classes.join(roots, classes["fp"] == roots["node"], "left").select(
-            "fp", "first_doc", F.coalesce("root", "fp").alias("root")
-        )
-    )
-    firsts = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    labels = rooted.join(firsts, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    prints = fingerprints(docs, shingle, id_col, text_col).withColumnRenamed("doc_id", "row")
+    return group_rows(prints, **options).select(F.col("row").alias("doc_id"), "fp", F.col("least").alias("component_id"))
 
 
-def keep_one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, without near-duplicates: the least doc_id of each group stays.
+def keep_one_of_each_group(docs: DataFrame, shingle: int = 3, **options) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each group the row of the least doc_id stays.
 
-    Of several rows with that same doc_id one stays; rows with a null doc_id stay only if nothing
-    else is in their group.
+    Null ids come last; of rows with the same doc_id the one of the least digest of its text stays,
+    of equal ones any.
     """
-    groups = near_duplicate_groups(docs.select("doc_id", "text"), **options)
-    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return with_ids(docs, firsts, "left_semi", once=True)
+    ship_code(docs.sparkSession)
+    kept = docs.select(F.struct(*least_row(docs)).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = kept.select("row", F.lit(0).cast("bigint").alias("fp")).schema
+    prints = kept.mapInArrow(lambda batches: _fingerprint_batches(batches, shingle), schema)
+    groups = group_rows(prints, **options)
+    return with_keys(docs, groups.where(F.col("row") == F.col("least")).select("row.key").distinct(), "left_semi", once=True)
