@@ -8,7 +8,7 @@ it, windows with five words on end of an item are looked at whatever their cosin
 
 Cost at scale: three narrow scans. What moves is a count a word bucket and a row of the sketch a
 bucket from each task, summed in the JVM with bounded memory; the driver gets those sums, whose
-size the parameters set. Items are looked up in blocks of bounded size, each in a scan of its own.
+size the parameters set. Items are looked up in blocks, many of them in one scan.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship_code, with_ids
+from .common import cut, row_key, ship_code, with_keys
 from .wordhash import Words, mix, utf8, words
 
 BUCKET_BITS = 13  # hashed words that passages are vectors over
@@ -31,9 +31,12 @@ RANK, OVERSAMPLE = 112, 16  # dimensions kept, and more that the sketch has
 STEP = 16  # words between windows; a window, as a passage, has two steps
 GRAM = 5  # words on end of an item that are looked for as they are
 GRAM_BITS = 20
+RUN = 3  # words of the shortest items that may stand inside a text
 PART = 48  # an item is looked up in parts of so many words at most
 SCALE = 1 << 16  # sketch entries are summed as whole multiples of 1 / SCALE, so order doesn't matter
-ITEM_BLOCK = 4096  # items looked up in one scan, in expectation
+ITEM_BLOCK = 4096  # items held against windows at once, in expectation
+SCAN_BLOCKS = 16  # blocks looked up in one scan
+CELLS = 1 << 22  # cosines held at once
 SMALL = 100_000  # ids of leaking documents that may be broadcast
 ROWS = 256  # texts worked on at once
 
@@ -48,7 +51,7 @@ class Checks:
     of weight that the window must have for a look at their order. lcs: share of the item's words in
     their longest common subsequence with the region. density: of that subsequence in the words it
     spans. answer: share of the answer's words found in order in that span. Items of fewer words
-    than min_words can't be told from chance and are never found.
+    than min_words count only as they are.
     """
 
     cosine: float = 0.35
@@ -219,6 +222,7 @@ class Index:
     grams: np.ndarray
     gram_part: np.ndarray
     gram_marks: np.ndarray
+    short: dict[int, dict[int, list[int]]]  # items of few words: their number -> their hash -> item_ids
 
     def verbatim(self, found: Words) -> tuple[np.ndarray, np.ndarray]:
         """(word, part) where a run of words of a part begins."""
@@ -235,11 +239,11 @@ class Index:
         return (mix(hashes + parts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _grams(hashes: np.ndarray) -> np.ndarray:
-    """Hashes of every GRAM words on end."""
-    n = max(0, len(hashes) - GRAM + 1)
+def _grams(hashes: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Hashes of every `size` words on end."""
+    n = max(0, len(hashes) - size + 1)
     out = np.zeros(n, np.uint64)
-    for k in range(GRAM):
+    for k in range(size):
         out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
     return mix(out)
 
@@ -247,6 +251,7 @@ def _grams(hashes: np.ndarray) -> np.ndarray:
 def build_index(rows: list[tuple[int, str, str | None]], latent: np.ndarray, checks: Checks) -> Index:
     """Rows are (item_id, text, answer or None: the last quarter of the words, three at least)."""
     items, owner, vectors, need, keys, runs = [], [], [], [], [], []
+    short: dict[int, dict[int, list[int]]] = {}
     weighs = latent.any(axis=1)
     if rows:
         found, buckets = _words(pa.array([r[1] for r in rows], pa.string()))
@@ -254,6 +259,8 @@ def build_index(rows: list[tuple[int, str, str | None]], latent: np.ndarray, che
         for k, (item_id, _, answer) in enumerate(rows):
             lo, hi = int(found.offsets[k]), int(found.offsets[k + 1])
             if hi - lo < checks.min_words:
+                if hi > lo:
+                    short.setdefault(hi - lo, {}).setdefault(int(_grams(found.hashes[lo:hi], hi - lo)[0]), []).append(item_id)
                 continue
             own = found.hashes[lo:hi].tolist()
             tail = given.hashes[given.offsets[k] : given.offsets[k + 1]].tolist() if answer else own[-max(3, len(own) // 4) :]
@@ -273,7 +280,7 @@ def build_index(rows: list[tuple[int, str, str | None]], latent: np.ndarray, che
     grams, gram_part, gram_marks = np.array([r for r, _ in runs], np.uint64), np.array([p for _, p in runs], np.int64), np.zeros(1 << GRAM_BITS, bool)
     gram_marks[grams >> np.uint64(64 - GRAM_BITS)] = True
     index = Index(
-        items, np.array(owner, np.int64), _unit(matrix), _with_zero(latent.astype(np.float32)), np.array(need), np.zeros(size, bool), grams, gram_part, gram_marks
+        items, np.array(owner, np.int64), _unit(matrix), _with_zero(latent.astype(np.float32)), np.array(need), np.zeros(size, bool), grams, gram_part, gram_marks, short
     )
     for part, own_words in keys:
         index.marked[index.places(own_words, np.full(len(own_words), part))] = True
@@ -298,21 +305,26 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 
 
 def _matched(a: list[int], b: list[int]) -> list[int]:
-    """Places in b of one longest common subsequence, taken from the end."""
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    other = np.array(b, np.uint64)
+    """Places in b of one longest common subsequence, taken from the end; a bit of memory a cell."""
+    at: dict[int, int] = {}
     for i, x in enumerate(a):
-        diagonal = table[i, :-1] + (other == np.uint64(x))
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(diagonal, table[i, 1:]))
-    i, j, places = len(a), len(b), []
-    while i and j:
-        if table[i, j] == table[i, j - 1]:
-            j -= 1
-        elif table[i, j] == table[i - 1, j]:
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row, rows = full, []
+    for x in b:
+        if hit := row & at.get(x, 0):
+            row = ((row + hit) | (row - hit)) & full
+        rows.append(row)
+    # A zero at i: one word more with a[i] than without. The first row with it is where it is matched.
+    i, j, places = len(a) - 1, len(b) - 1, []
+    while i >= 0 and j >= 0:
+        if rows[j] >> i & 1:
             i -= 1
-        else:
-            i, j = i - 1, j - 1
-            places.append(j)
+            continue
+        while j and not rows[j - 1] >> i & 1:
+            j -= 1
+        places.append(j)
+        i, j = i - 1, j - 1
     return places[::-1]
 
 
@@ -341,70 +353,151 @@ def verify(item: Item, region: list[int], checks: Checks) -> tuple[float, float,
     return (len(places) / n, answer, places[0], places[-1]) if answer >= checks.answer else None
 
 
-def _share_words(
-    found: Words, buckets: np.ndarray, starts: np.ndarray, ends: np.ndarray, parts: np.ndarray, index: Index
-) -> np.ndarray:
-    """Whether windows have enough of the words of weight of the parts they are near to."""
-    weighs, out = index.latent.any(axis=1), np.zeros(len(starts), bool)
+def _share_words(found: Words, starts: np.ndarray, ends: np.ndarray, parts: np.ndarray, index: Index) -> np.ndarray:
+    """Whether windows have enough different words of weight of the parts they are near to; starts are in order."""
+    out = np.zeros(len(starts), bool)
     for at in range(0, len(starts), 1 << 14):
         rows = slice(at, at + (1 << 14))
-        places = starts[rows, None] + np.arange(2 * STEP)
-        inside = places < ends[rows, None]
-        places = np.where(inside, places, 0)
-        marks = index.marked[index.places(found.hashes[places], parts[rows, None])]
-        out[rows] = (marks & inside & weighs[buckets[places]]).sum(axis=1) >= index.need[parts[rows]]
+        begin, first, which = np.unique(starts[rows], return_index=True, return_inverse=True)
+        places = begin[:, None] + np.arange(2 * STEP)
+        # Past the text's end its last word is repeated, and each window's words count once.
+        words = np.sort(found.hashes[np.minimum(places, ends[rows][first][:, None] - 1)], axis=1)
+        once = np.ones(words.shape, bool)
+        once[:, 1:] = words[:, 1:] != words[:, :-1]
+        marks = index.marked[index.places(words[which], parts[rows, None])]
+        out[rows] = (marks & once[which]).sum(axis=1) >= index.need[parts[rows]]
     return out
 
 
-def _look_up(texts: pa.Array, index: Index, checks: Checks) -> Iterator[tuple[int, int, float, float, float, int, int]]:
-    """(row, item_id, cosine, share of item, share of answer, first word, words) of each leak."""
+@dataclass
+class Windows:
+    """Texts in words, and their overlapping windows as unit vectors."""
+
+    found: Words
+    buckets: np.ndarray
+    starts: np.ndarray  # of blocks of STEP words
+    text: np.ndarray  # that each block is in
+    first: np.ndarray  # a window's first block
+    vectors: np.ndarray
+
+
+def _windows(texts: pa.Array, latent: np.ndarray) -> Windows | None:
     found, buckets = _words(texts)
-    if not len(buckets) or not index.items:
-        return
+    if not len(buckets):
+        return None
     starts = _spans(found.offsets, STEP)
-    blocks = _sum_rows(index.latent, buckets, np.diff(np.append(starts, len(buckets))), STEP)
+    sums = _sum_rows(latent, buckets, np.diff(np.append(starts, len(buckets))), STEP)
     text = np.searchsorted(found.offsets, starts, "right") - 1
     follows = np.append(text[1:] == text[:-1], False)
-    blocks[:-1] += blocks[1:] * follows[:-1, None]
+    sums[:-1] += sums[1:] * follows[:-1, None]
     # The last block of a text of several is in the window before it.
-    windows = np.flatnonzero(follows | np.append(True, text[1:] != text[:-1]))
-    cosines = _unit(blocks[windows]) @ index.vectors.T
-    at, part = np.nonzero(cosines >= checks.cosine)
-    cosine, at = cosines[at, part], windows[at]
-    kept = _share_words(found, buckets, starts[at], found.offsets[text[at] + 1], part, index)
+    first = np.flatnonzero(follows | np.append(True, text[1:] != text[:-1]))
+    return Windows(found, buckets, starts, text, first, _unit(sums[first]))
+
+
+def _look_up(texts: pa.Array, index: Index, checks: Checks) -> Iterator[tuple[int, int, float, float, float, int, int]]:
+    """(row, item_id, cosine, share of item, share of answer, first word, words) of each leak."""
+    windows = _windows(texts, index.latent)
+    if windows is not None:
+        yield from _look_up_windows(windows, index, checks)
+
+
+def _candidates(w: Windows, index: Index, checks: Checks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, part, cosine) of windows to look at."""
+    ends, kept = w.found.offsets[w.text + 1], []
+    rows = max(1, CELLS // len(index.owner))
+    for at in range(0, len(w.first), rows):
+        cosines = w.vectors[at : at + rows] @ index.vectors.T
+        near, part = np.nonzero(cosines >= checks.cosine)
+        block = w.first[at : at + rows][near]
+        enough = _share_words(w.found, w.starts[block], ends[block], part, index)
+        kept.append((block[enough], part[enough], cosines[near, part][enough]))
     # Runs of an item's words are looked at in the window that they begin in, whatever its cosine.
-    begins, run_part = index.verbatim(found)
-    window = np.searchsorted(windows, np.searchsorted(starts, begins, "right") - 1, "right") - 1
-    at, part = np.concatenate((at[kept], windows[window])), np.concatenate((part[kept], run_part))
-    cosine = np.concatenate((cosine[kept], cosines[window, run_part]))
+    begins, run_part = index.verbatim(w.found)
+    window = np.searchsorted(w.first, np.searchsorted(w.starts, begins, "right") - 1, "right") - 1
+    both = np.unique(window * len(index.owner) + run_part)
+    window, run_part = both // len(index.owner), both % len(index.owner)
+    cosine = np.einsum("ij,ij->i", w.vectors[window], index.vectors[run_part])
+    kept.append((w.first[window], run_part, cosine))
+    return tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+
+
+def _look_up_windows(w: Windows, index: Index, checks: Checks) -> Iterator[tuple[int, int, float, float, float, int, int]]:
+    yield from _short_leaks(w, index)
+    if not len(index.owner):
+        return
     near: dict[tuple[int, int], list[tuple[int, float]]] = {}
-    for w, p, c in zip(at.tolist(), part.tolist(), cosine.tolist(), strict=True):
-        near.setdefault((int(text[w]), int(index.owner[p])), []).append((int(starts[w]), c))
+    for block, p, c in zip(*(x.tolist() for x in _candidates(w, index, checks)), strict=True):
+        near.setdefault((int(w.text[block]), int(index.owner[p])), []).append((int(w.starts[block]), c))
     for (row, which), hits in near.items():
-        item, lo, hi = index.items[which], int(found.offsets[row]), int(found.offsets[row + 1])
+        item, lo, hi = index.items[which], int(w.found.offsets[row]), int(w.found.offsets[row + 1])
         n, best, done = len(item.words), None, -1
         for at, cosine in sorted(hits):
             if at < done:
                 continue
             first, done = max(lo, at - n), at + STEP
-            region = found.hashes[first : min(hi, at + 2 * STEP + n)].tolist()
+            region = w.found.hashes[first : min(hi, at + 2 * STEP + n)].tolist()
             if (leak := verify(item, region, checks)) and (best is None or leak[0] > best[3]):
                 best = (row, item.item_id, cosine, leak[0], leak[1], first - lo + leak[2], leak[3] - leak[2] + 1)
         if best:
             yield best
 
 
-LEAKS = "doc_id bigint, item_id bigint, cosine double, lcs_share double, answer_share double, first_word bigint, n_words bigint"
+def _short_leaks(w: Windows, index: Index) -> Iterator[tuple[int, int, float, float, float, int, int]]:
+    """Items of few words, where all their words stand in order: in a text, or as a whole one if they are one or two."""
+    offsets = w.found.offsets
+    for n, keys in index.short.items():
+        known, whole = np.array(sorted(keys), np.uint64), np.diff(offsets) == n
+        runs = _grams(w.found.hashes, n)
+        at = np.flatnonzero(np.isin(runs, known))
+        row = np.searchsorted(offsets, at, "right") - 1
+        seen = set()
+        for r, place in zip(row.tolist(), at.tolist(), strict=True):
+            if place + n <= offsets[r + 1] and (n >= RUN or whole[r]):
+                for item_id in keys[int(runs[place])]:
+                    if (r, item_id) not in seen:
+                        seen.add((r, item_id))
+                        yield r, item_id, 1.0, 1.0, 1.0, place - int(offsets[r]), n
+
 
+LEAKS = "item_id bigint, cosine double, lcs_share double, answer_share double, first_word bigint, n_words bigint"
 
-def _leak_batches(batches: Iterator[pa.RecordBatch], index: Index, checks: Checks) -> Iterator[pa.RecordBatch]:
+
+def _leak_batches(batches: Iterator[pa.RecordBatch], indexes: list[Index], checks: Checks) -> Iterator[pa.RecordBatch]:
     names, kinds = zip(*(c.split() for c in LEAKS.split(", ")), strict=True)
     types = [pa.int64() if k == "bigint" else pa.float64() for k in kinds]
     for part in _parts(batches):
-        ids = part.column(0)
-        leaks = [(ids[row].as_py(), *rest) for row, *rest in _look_up(part.column(1), index, checks)]
-        if leaks:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*leaks, strict=True), types, strict=True)], list(names))
+        windows = _windows(part.column(1), indexes[0].latent)
+        for index in indexes if windows is not None else []:
+            leaks = list(_look_up_windows(windows, index, checks))
+            if leaks:
+                rows, *rest = zip(*leaks, strict=True)
+                columns = [pa.array(c, t) for c, t in zip(rest, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), *columns], ["id", *names])
+
+
+def _leaks_by_id(texts: DataFrame, benchmark: DataFrame, checks: Checks, answer_col: str | None, item_block: int) -> DataFrame:
+    """(id, text) of documents -> a row a pair of an id and an item."""
+    spark = texts.sparkSession
+    ship_code(spark)
+    latent = latent_space(texts)
+    answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"), answer.alias("answer")).distinct()
+    blocks = max(1, -(-items.count() // item_block))
+    block = F.pmod(F.xxhash64("item_id", "text", "answer"), F.lit(blocks)).alias("block")
+    found = None
+    for at in range(0, blocks, SCAN_BLOCKS):
+        rows = items.select(block, "*").where((F.col("block") >= at) & (F.col("block") < at + SCAN_BLOCKS)).orderBy("block", "item_id", "text", "answer").collect()
+        indexes = [build_index([tuple(r)[1:] for r in rows if r["block"] == b], latent, checks) for b in sorted({r["block"] for r in rows})]
+        if indexes:
+            shared = spark.sparkContext.broadcast(indexes)
+            kind = texts.schema["id"].dataType.simpleString()
+            leaks = texts.select("id", "text").mapInArrow(lambda batches, shared=shared: _leak_batches(batches, shared.value, checks), f"id {kind}, {LEAKS}")
+            found = leaks if found is None else found.unionByName(leaks)
+    if found is None:
+        found = texts.select("id", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in LEAKS.split(", ")]).where(F.lit(False))
+    best = F.max_by(F.struct("cosine", "lcs_share", "answer_share", "first_word", "n_words"), F.struct("lcs_share", "cosine", "first_word"))
+    return found.groupBy("id", "item_id").agg(best.alias("best")).select("id", "item_id", "best.*")
 
 
 def find_leaks(
@@ -417,28 +510,25 @@ def find_leaks(
     """The (doc_id, item_id) pairs of documents that hold a benchmark item, or a paraphrase in order.
 
     A row a pair: cosine, the item's and the answer's share found, and where. Of repeated rows and
-    of several places the fullest counts. Null texts are empty, and neither they nor empty texts
-    leak; an item's answer is answer_col, or the end of its text. Items with the same id are looked
-    up each. A null doc_id is kept as one. Empty tables give no rows; other columns are ignored.
+    of several places the fullest counts. Items of fewer than checks.min_words words are found where
+    they stand word by word; of one or two, where a text has no other words. Null texts are empty, and neither they nor
+    empty texts leak; an item's answer is answer_col, or the end of its text. Items with the same id
+    are looked up each, repeated rows of the benchmark once; an item without words is never found. A
+    null doc_id or item_id is kept as one. Texts and items may be of any length: windows and cosines
+    are worked on in bounded pieces, and what is held for an item of n words is n * n / 2 bits.
+    Empty tables give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    ship_code(spark)
-    latent = latent_space(docs)
-    answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"), answer.alias("answer"))
-    blocks = max(1, -(-items.count() // item_block))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(build_index([tuple(r) for r in rows], latent, checks))
-        leaks = texts.mapInArrow(lambda batches, shared=shared: _leak_batches(batches, shared.value, checks), LEAKS)
-        found = leaks if found is None else found.unionByName(leaks)
-    best = F.max_by(F.struct("cosine", "lcs_share", "answer_share", "first_word", "n_words"), F.struct("lcs_share", "cosine", "first_word"))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    return _leaks_by_id(texts, benchmark, checks, answer_col, item_block).withColumnRenamed("id", "doc_id")
+
 
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, checks: Checks = Checks(), answer_col: str | None = None, item_block: int = ITEM_BLOCK
+) -> DataFrame:
+    """The rows of docs, all columns, that leak no item, whether or not they share a doc_id with one that does.
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, that leak no item; a few leaking ids are broadcast, many joined."""
-    ids = cut(find_leaks(docs, benchmark, **options).select("doc_id").distinct())
-    return with_ids(docs, F.broadcast(ids) if ids.count() <= SMALL else ids, "left_anti")
+    A few leaking documents' keys are broadcast, many joined.
+    """
+    texts = docs.select(row_key(docs).alias("id"), F.col("text").cast("string").alias("text"))
+    keys = cut(_leaks_by_id(texts, benchmark, checks, answer_col, item_block).select(F.col("id").alias("key")).distinct())
+    return with_keys(docs, F.broadcast(keys) if keys.count() <= SMALL else keys, "left_anti")
