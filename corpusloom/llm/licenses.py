@@ -1,8 +1,10 @@
 """Licence scans: sparse TF-IDF cosine of lines, blocks and sentences to templates, and inheritance from licence files.
 
 DataFrame operations only. Cost at scale: one scan of texts for units that can match at all: lines,
-blocks of lines and their sentences however they are wrapped, and licence files; each different unit is scored once, however often it is repeated; inheritance joins directories, of
-which there are far fewer than files, to their ancestors by path.
+blocks of lines, their sentences and what these join by "or", however they are wrapped, and licence
+files. A unit is scored where it stands against literal template vectors, so nothing is shuffled for
+it and no line that all files have is a key; a row a matching unit goes on. Inheritance joins
+directories, of which there are far fewer than files, to their ancestors by path.
 """
 
 from __future__ import annotations
@@ -53,6 +55,9 @@ THRESHOLD = 0.8  # least cosine of a line and a template
 FILE_SHARE = 0.5  # a file is a licence file if so much of its words are in matching lines
 #: Lines that aren't comments, and comments without words.
 NO_COMMENT = r"(?m)^(?![ \t]*(?:#|//|/?\*|--|;|%|<!--)[^\n]*[A-Za-z0-9]).+$"
+#: Sentences that may name several licences, and what is between these.
+CHOICE = r"(?is)licen[cs].*(?:\s(?:or|and)\s|/)"
+OR = r"(?i)[,;]?\s+(?:and/or|either|or|and)\s+(?:under\s+)?|\s*/\s*"
 FILE_NAME = r"(?i)^(un)?licen[cs]e|^copying"
 
 
@@ -100,7 +105,7 @@ def _unit_column(name: Column, threshold: float, templates: dict[str, list[str]]
     """Of a column `text`: (kind, words) of each unit that can match, and the number of words of a text that has such units.
 
     Units are lines; blocks of lines up to one without letters and digits, of all lines and of those
-    in comments alone; sentences of blocks; and the whole text if the file's name is a licence's.
+    in comments alone; sentences of blocks; what such sentences join by "or" or "and"; and the whole text if the file's name is a licence's.
     Comment marks aren't words.
     """
     guard = r"(?i)(?<![a-z0-9])(?:" + "|".join(guard_words(template_weights(templates)[0], threshold)) + r")(?![a-z0-9])"
@@ -110,15 +115,21 @@ def _unit_column(name: Column, threshold: float, templates: dict[str, list[str]]
 
     def fits(words: Column) -> Column:
         """Without loss: other words, of the greatest weight, may have 1 - threshold ** 2 of a unit's square at most."""
-        own = F.filter(words, lambda w: w.isin(known))
-        square = F.aggregate(F.array_distinct(own), F.lit(0.0), lambda sum_, w: sum_ + F.pow(F.size(F.filter(own, lambda x: x == w)), F.lit(2.0)))
+        def count(now: Column, w: Column) -> Column:
+            """Squares are summed in one pass over sorted words: n words alike give 1 + 3 + ... + (2 n - 1)."""
+            n = F.when(w == now["word"], now["n"] + 1).otherwise(F.lit(1.0))
+            return F.struct(w.alias("word"), n.alias("n"), (now["square"] + 2 * n - 1).alias("square"))
+
+        own = F.array_sort(F.filter(words, lambda w: w.isin(known)))
+        none = F.struct(F.lit("").alias("word"), F.lit(0.0).alias("n"), F.lit(0.0).alias("square"))
+        square = F.aggregate(own, none, count, lambda now: now["square"])
         other = F.size(F.array_distinct(F.filter(words, lambda w: ~w.isin(known + STOP_WORDS))))
         return other * threshold**2 <= (1 - threshold**2) * square + 1e-9
 
     def units(kind: str, parts: Column) -> Column:
-        found = F.transform(F.filter(parts, lambda part: part.rlike(guard)), lambda part: F.regexp_extract_all(F.lower(part), F.lit(f"({WORD})"), F.lit(1)))
-        found = found if kind == "line" else F.filter(found, fits)
-        return F.transform(found, lambda words: F.struct(F.lit(kind).alias("kind"), F.array_join(words, " ").alias("line")))
+        words = lambda part: F.regexp_extract_all(F.lower(part), F.lit(f"({WORD})"), F.lit(1))
+        found = F.filter(F.transform(F.filter(parts, lambda part: part.rlike(guard)), words), fits)
+        return F.transform(found, lambda words: F.struct(F.lit(kind).alias("kind"), words.alias("words")))
 
     plain = F.regexp_replace(text, r"\r\n?", "\n")
     blocks = F.array_distinct(
@@ -126,37 +137,49 @@ def _unit_column(name: Column, threshold: float, templates: dict[str, list[str]]
     )
     blocks = F.filter(blocks, lambda part: part.rlike(guard))
     sentences = F.flatten(F.transform(blocks, lambda block: F.split(block, r"(?<=[.:;!?])\s+")))
+    choices = F.flatten(F.transform(F.filter(sentences, lambda part: part.rlike(CHOICE)), lambda part: F.split(part, OR)))
     whole = F.when(name.rlike(FILE_NAME), F.array(text)).otherwise(F.array().cast("array<string>"))
-    joined = F.array_distinct(F.concat(units("block", F.filter(blocks, lambda block: block.contains("\n"))), units("sentence", sentences), units("whole", whole)))
+    joined = F.array_distinct(F.concat(units("block", F.filter(blocks, lambda block: block.contains("\n"))), units("sentence", sentences), units("choice", choices), units("whole", whole)))
     # Lines stay as often as they are repeated: their words count for the file's share.
     found = F.concat(units("line", F.split(text, r"[\r\n]+")), joined)
     count = F.regexp_count(F.lower("text"), F.lit(WORD))
     return F.when(may, found), F.when(may, count)
 
 
-def match_lines(lines: DataFrame, threshold: float, templates: dict[str, list[str]]) -> DataFrame:
-    """(file_key, kind, line) -> (file_key, kind, license, cosine, n_words) of each line that matches a template."""
-    spark = lines.sparkSession
+def match_units(units: DataFrame, threshold: float, templates: dict[str, list[str]]) -> DataFrame:
+    """(file_key, kind, words) -> (file_key, kind, license, cosine, n_words) of each unit that matches a template.
+
+    Words are counted in the row as runs of the sorted array; each has its IDF and its weights in
+    all templates from a literal map, so that the sparse vectors' products are one sum in the row.
+    """
     rows, idf, other = template_weights(templates)
-    # Each different line is scored once, under a digest: its words don't carry it along.
-    lines = lines.select("file_key", "kind", F.md5(F.col("line").cast("binary")).alias("digest"), "line")
-    words = (
-        lines.select("digest", "line").distinct().select(F.col("digest").alias("line"), F.explode(F.split("line", " ")).alias("word")).groupBy("line", "word").agg(F.count(F.lit(1)).alias("n"))
-    )
-    known = spark.createDataFrame(sorted((idf | dict.fromkeys(STOP_WORDS, 0.0)).items()), "word string, idf double")
-    weighed = words.join(F.broadcast(known), "word", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(other)))
-    lengths = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"), F.sum("n").alias("n_words"))
-    table = spark.createDataFrame(rows, "template int, license string, word string, weight double")
-    dots = weighed.join(F.broadcast(table), "word").groupBy("line", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    best = (
-        dots.join(lengths, "line")
-        .withColumn("cosine", F.round(F.col("dot") / F.col("length"), 6))
-        .where(F.col("cosine") >= threshold)
-        .groupBy("line", "n_words")
-        .agg(F.max(F.struct("cosine", F.col("license").alias("license"))).alias("best"))
-        .select("line", "n_words", "best.*")
-    )
-    return lines.select("file_key", "kind", F.col("digest").alias("line")).join(best, "line").select("file_key", "kind", "license", "cosine", "n_words")
+    number = 1 + max((r[0] for r in rows), default=-1)
+    vectors = {w: [0.0] * number for w in idf}
+    licences = [""] * number
+    for template, name, word, weight in rows:
+        vectors[word][template], licences[template] = weight, name
+    if not vectors:
+        return units.select("file_key", "kind", F.lit("").alias("license"), F.lit(0.0).alias("cosine"), F.size("words").alias("n_words")).where(F.lit(False))
+    array = lambda values: f"array({', '.join(values)})"
+    table = F.expr("map(" + ", ".join(f"'{w}', named_struct('idf', {idf[w]!r}D, 'weights', {array(f'{x!r}D' for x in v)})" for w, v in sorted(vectors.items())) + ")")
+    names = F.expr(array("'" + name.replace("'", "\\'") + "'" for name in licences))
+
+    has_words = F.exists("words", lambda w: ~w.isin(STOP_WORDS))
+    sorted_ = units.where(has_words).withColumn("n_words", F.size("words")).withColumn("words", F.array_sort(F.filter("words", lambda w: ~w.isin(STOP_WORDS))))
+    at = lambda i: F.get("words", i)
+    runs = sorted_.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (at(i) != at(i - 1))))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("words")))
+    runs = runs.withColumn("runs", F.zip_with("starts", ends, lambda a, b: F.struct(F.try_element_at(table, at(a)).alias("known"), (b - a).alias("n"))))
+    weighed = runs.withColumn("runs", F.transform("runs", lambda r: F.struct((r["n"] * F.coalesce(r["known"]["idf"], F.lit(other))).alias("x"), r["known"]["weights"].alias("weights"))))
+    length = F.sqrt(F.aggregate("runs", F.lit(0.0), lambda total, r: total + r["x"] * r["x"]))
+    zeros = F.array_repeat(F.lit(0.0), number)
+    known = F.filter("runs", lambda r: r["weights"].isNotNull())
+    dots = F.aggregate(known, zeros, lambda total, r: F.zip_with(total, r["weights"], lambda t, w: t + r["x"] * w))
+    scored = weighed.select("file_key", "kind", "n_words", length.alias("length"), dots.alias("dots"))
+    best = F.array_max(F.zip_with("dots", names, lambda dot, name: F.struct(dot.alias("dot"), name.alias("license"))))
+    best = F.struct(F.round(best["dot"] / F.col("length"), 6).alias("cosine"), best["license"].alias("license"))
+    # A filter on the cosine would be pushed down and work all of it out within its lambdas again.
+    return scored.select("file_key", "kind", "n_words", F.inline(F.filter(F.array(best), lambda b: b["cosine"] >= threshold)))
 
 
 def nearest_ancestors(directories: DataFrame, licensed: DataFrame) -> DataFrame:
@@ -180,13 +203,16 @@ def license_scan(
     """The licence of every file (path, text): its own, or that of the nearest directory above with a licence file.
 
     Returns the columns `passed` (path, if None), license (several: in order, joined by AND; none:
-    null), cosine (the best line's, of an own licence), origin ('header', 'file', 'ancestor' or
-    'none') and license_dir. A unit (line, block, sentence or licence file) matches the template of the greatest cosine, of equals the last
+    null), cosine (the best unit's, of an own licence), origin ('header', 'file', 'ancestor' or
+    'none') and license_dir. A unit (line, block, sentence, choice or licence file) matches the template of the greatest cosine, of equals the last
     licence by name. A file is a licence file if its name says so or file_share of its words are in
     matching units of a kind. Null and empty texts have no licence of their own; a null path is a file in the
     root. Repeated rows stay; rows with the same path and text count once for their directory. An
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored; a passed column called like one of the
+    four others is an error.
     """
+    if clash := set(passed or []) & {"license", "cosine", "origin", "license_dir"}:
+        raise ValueError(f"passed columns are called like the scan's own: {sorted(clash)}")
     path = F.coalesce(F.col("path"), F.lit(""))
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     units, words = _unit_column(name, threshold, templates)
@@ -202,7 +228,7 @@ def license_scan(
         )
     )
     own = (
-        match_lines(rows.select("file_key", F.inline("units")), threshold, templates)
+        match_units(rows.select("file_key", F.inline("units")), threshold, templates)
         .groupBy("file_key", "kind")
         .agg(F.collect_set("license").alias("licenses"), F.max("cosine").alias("cosine"), F.sum("n_words").alias("licence_words"))
         .groupBy("file_key")  # units of different kinds overlap, so the fullest kind's words count
