@@ -215,3 +215,16 @@ def label_of(prefix: Column) -> Column:
 
 def first_words(c: Column, n: int) -> Column:
     return F.array_join(F.slice(words(c), 1, n), " ")
+
+
+def pick_prompt(hop: Column, category: Column, question: Column, order: Column, wanted: str) -> Column:
+    """Over a group: the first question, in order, of two hops and the wanted category, or else the first of all."""
+    fits = (hop == 2) & (category == wanted)
+    return F.coalesce(F.min_by(F.when(fits, question), F.when(fits, order)), F.min_by(question, order))
+
+
+def numeric_order(path: Column) -> Column:
+    """What paths are ordered by: the first number of a file's name, paths without one last, then the path."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    digits = F.regexp_extract(name, r"(\d+)", 1)
+    return F.struct(F.when(digits == "", float("inf")).otherwise(digits.cast("double")).alias("number"), path.alias("path"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from corpusloom.functions.text import SPACE, let, word_ngrams, words
+from corpusloom.functions.text import SPACE, let, strip, word_ngrams, words
 
 
 def _grams(c: Column, n: int) -> Column:
@@ -110,3 +110,13 @@ def rouge_l(df: DataFrame, hyp: str, ref: str) -> DataFrame:
     r = F.when(F.col("nr") > 0, F.col("l") / F.col("nr")).otherwise(0.0)
     f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
     return lengths.agg(*[(100 * F.avg(c)).alias(f"rouge_l_{name}") for c, name in ((p, "p"), (r, "r"), (f, "f"))])
+
+
+def by_setting(scored: DataFrame, setting: str, metrics: list[str]) -> DataFrame:
+    """(setting, mean of each metric, n): the table of metrics by sampling temperature."""
+    return scored.groupBy(setting).agg(*[F.avg(m).alias(m) for m in metrics], F.count(F.lit(1)).alias("n"))
+
+
+def first_non_blank(lines: DataFrame, order: list[str], value: str, n: int = 250) -> DataFrame:
+    """The first n lines in order that aren't blank."""
+    return lines.where(strip(F.col(value)) != "").orderBy(*order).limit(n)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import let
-from corpusloom.operators.ordering import in_order, in_order_by_group
+from corpusloom.operators.ordering import cut, in_order, in_order_by_group
 
 #: Token targets of the training, validation and test sets.
 TARGETS = {"train_manual": 98_000_000, "train_public": 392_000_000, "val": 5_000_000, "test": 5_000_000}
@@ -68,6 +68,23 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) ->
     return ranked.where(F.col("__r") <= n).drop("__r")
 
 
+def round_robin(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """`turn` and the rows of n turns that go round the strata in order of name, over and over.
+
+    Each stratum gives its rows in the order of a seeded hash and begins anew at its end. Strata are
+    few; a turn is a row, so what is repeated is what the n turns ask for.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    placed = in_order_by_group(df.withColumn("__h", digest), stratum, ["__h", key]).drop("__h").withColumnRenamed("row", "__row")
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size"))
+    everything = Window.partitionBy(F.lit(0))
+    strata = sizes.select(stratum, "__size", F.row_number().over(everything.orderBy(stratum)).alias("__no"), F.count(F.lit(1)).over(everything).alias("__strata"))
+    turns = df.sparkSession.range(n).select(F.col("id").alias("turn"))
+    wanted = turns.join(F.broadcast(strata), F.col("turn") % F.col("__strata") == F.col("__no") - 1)
+    wanted = wanted.withColumn("__row", F.floor(F.col("turn") / F.col("__strata")) % F.col("__size"))
+    return wanted.join(placed, [stratum, "__row"]).select("turn", *df.columns)
+
+
 def training_windows(tokens: Column, length: int) -> Column:
     """Every (start, x, y): length tokens from each start and the same shifted by one; none if there are too few."""
     def cut_up(a: Column) -> Column:
@@ -138,9 +155,14 @@ def select_model(runs: DataFrame, key: str, weights: dict[str, float]) -> DataFr
 
 
 def best_so_far(log: DataFrame, step: str, loss: str) -> DataFrame:
-    before = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)  # a log of evaluations: few rows
-    low = F.min(loss).over(before)
-    return log.withColumn("is_best", low.isNull() | (F.col(loss) < low))
+    """log with `is_best`: whether a loss is below all of earlier steps; a null loss is not, the first is."""
+    placed = cut(log.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(step, "__tie").withColumn("__part", F.spark_partition_id()))
+    lows = placed.groupBy("__part").agg(F.min(loss).alias("__low"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    lows = lows.select("__part", F.min("__low").over(before(Window.orderBy("__part"))).alias("__low"))  # a row a part
+    within = F.min(loss).over(before(Window.partitionBy("__part").orderBy(step, "__tie")))
+    low = F.least(F.col("__within"), F.col("__low"))
+    return placed.withColumn("__within", within).join(F.broadcast(lows), "__part").withColumn("is_best", low.isNull() | (F.col(loss) < low)).drop("__tie", "__part", "__low", "__within")
 
 
 def learning_rate(step: Column, warmup: int, steps: int, top: float, floor: float) -> Column:

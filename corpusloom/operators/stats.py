@@ -146,3 +146,44 @@ def compare_checkpoints(before: DataFrame, after: DataFrame, key: str, value: st
 def saved_or_computed(saved: DataFrame, computed: DataFrame, step: str, loss: str) -> DataFrame:
     joined = saved.select(step, F.col(loss).alias("__saved")).join(computed.select(step, F.col(loss).alias("__own")), step, "full")
     return joined.select(step, F.coalesce("__saved", "__own").alias(loss), F.when(F.col("__saved").isNotNull(), "saved").otherwise("computed").alias("origin"))
+
+
+def dataset_stats(df: DataFrame, category: str, hop: str) -> DataFrame:
+    """Rows and share in percent by category, by hop and in all, as (dimension, value)."""
+    expanded = df.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in (("all", F.lit("all")), ("category", F.col(category).cast("string")), ("hop", F.col(hop).cast("string")))])).alias("k"))
+    counts = expanded.groupBy("k.dimension", "k.value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share_pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("dimension")))  # a row a value
+
+
+def retained(before: Column, after: Column) -> list[Column]:
+    """Characters before and after cleaning, and the share left in percent; 0 of nothing."""
+    b, a = F.coalesce(F.sum(F.char_length(before)), F.lit(0)), F.coalesce(F.sum(F.char_length(after)), F.lit(0))
+    return [b.alias("chars_before"), a.alias("chars_after"), F.when(b > 0, a * 100.0 / b).otherwise(0.0).alias("retained_pct")]
+
+
+def throughput(log: DataFrame, group: str, ts: str, n_bytes: str, target: int) -> DataFrame:
+    """Megabytes, minutes, megabytes a minute of each group, and minutes left to a target of bytes (null without a rate, 0 beyond it)."""
+    seen = log.groupBy(group).agg(F.sum(n_bytes).alias("n_bytes"), ((F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(F.min(F.col(ts).cast("timestamp")))) / 60e6).alias("minutes"))
+    mb = F.col("n_bytes") / 1e6
+    rate = F.try_divide(mb, F.col("minutes"))
+    left = F.greatest(F.lit(target / 1e6) - mb, F.lit(0.0))
+    return seen.select(group, mb.alias("mb"), "minutes", rate.alias("mb_per_min"), F.try_divide(left, rate).alias("eta_min"))
+
+
+def head_means(heads: DataFrame, layer: str, head: str, value: str, n_heads: int) -> DataFrame:
+    """(layer, mean, h0, h1, ...): a layer's mean and its value by head, from rows of a layer and head."""
+    return heads.groupBy(layer).agg(F.avg(value).alias("mean"), *[F.avg(F.when(F.col(head) == h, F.col(value))).alias(f"h{h}") for h in range(n_heads)])
+
+
+def checkpoint_summary(values: DataFrame, checkpoint: str, layer: str, samples: str, value: str, layers: int) -> DataFrame:
+    """A JSON line a checkpoint, in order of its samples: its mean value by layer; another number of layers is an error."""
+    means = values.groupBy(checkpoint, layer).agg(F.max(samples).alias("samples"), F.avg(value).alias("mean"))
+    by_layer = F.array_sort(F.collect_list(F.struct(layer, "mean")))  # `layers` long
+    whole = means.groupBy(checkpoint).agg(F.max("samples").alias("samples"), by_layer.alias("by_layer"))
+    checked = F.when(F.size("by_layer") == layers, F.transform("by_layer", lambda x: F.round(x["mean"], 6))).otherwise(F.raise_error(F.concat(F.lit("another number of layers in "), F.col(checkpoint).cast("string"))))
+    return whole.select(checkpoint, "samples", F.to_json(checked).alias("layer_means")).orderBy("samples", checkpoint)
+
+
+def token_examples(encoded: DataFrame, order: str, text: str, tokens: str, n: int = 5, width: int = 80) -> DataFrame:
+    """The first n texts in order with their beginning, tokens joined by |, and how many there are."""
+    return encoded.orderBy(order).limit(n).select(order, F.substring(text, 1, width).alias("beginning"), F.array_join(tokens, "|").alias("tokens"), F.size(tokens).alias("n_tokens"))

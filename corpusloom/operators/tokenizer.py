@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import nfc
@@ -222,6 +222,20 @@ def masked_loss(loss: Column, start: Column, prompt_chars: Column) -> list[Colum
     return [F.sum(F.when(counted, loss)).alias("loss"), F.count_if(counted).alias("n_tokens")]
 
 
+def known_pieces(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, unknown: str = "<unk>") -> DataFrame:
+    """(key, tokens): each token that vocab (token) has, `unknown` for others, in order."""
+    placed = df.select(key, F.posexplode(tokens).alias("pos", "token"))
+    known = placed.join(vocab.select("token", F.lit(True).alias("known")), "token", "left").withColumn("token", F.when(F.col("known"), F.col("token")).otherwise(unknown))
+    return known.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
+
+
+def best_vocabulary(reports: DataFrame, size: str, score: str, tolerance: float = 0.01) -> DataFrame:
+    """reports with `chosen`: the least vocabulary whose score is at most the best one's plus a tolerance."""
+    everything = Window.partitionBy(F.lit(0))  # a row a size
+    near = F.col(score) <= F.min(score).over(everything) * (1 + tolerance)
+    return reports.withColumn("chosen", F.col(size) == F.min(F.when(near, F.col(size))).over(everything))
+
+
 def unk_report(encoded: DataFrame, words: str, tokens: str) -> DataFrame:
     """Fertility and share of unknown tokens, infinite without words or tokens."""
     unk = F.size(F.filter(F.col(tokens), lambda t: t == "<unk>"))

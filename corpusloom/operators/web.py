@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import let, strip
@@ -93,15 +93,20 @@ def is_article(url: Column, pattern: str, skipped: tuple[str, ...] = SKIPPED, mi
     return test
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 20, accepted: DataFrame | None = None) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, accepted: DataFrame | None = None, steps: int = 1000) -> DataFrame:
     """(url, depth): pages by breadth first from the seeds, each at its least depth.
 
-    With accepted (url), links go on from those pages only. The frontier, not the graph, is what
-    each step moves on; steps are written to the checkpoint folder.
+    It goes on until no page is new, or up to max_depth links from the seeds if asked for; a graph
+    that isn't done after `steps` is an error. With accepted (url), links go on from those pages
+    only. The frontier, not the graph, is what each step moves on; steps are written to the
+    checkpoint folder.
     """
     found = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    frontier = found
-    for depth in range(1, max_depth + 1):
+    frontier, depth = found, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        if depth > steps:
+            raise RuntimeError(f"pages were still found after {steps} steps")
         sources = frontier if accepted is None else frontier.join(accepted.select("url").distinct(), "url", "left_semi")
         step = edges.join(sources.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
         frontier = cut(step.join(found, "url", "left_anti").withColumn("depth", F.lit(depth)))
@@ -142,6 +147,22 @@ def is_open_access(restricted: Column, collections: Column) -> Column:
 def preferred_files(files: DataFrame, item: str, name: str, most: int = 1) -> DataFrame:
     """The best files of each item: OCR text, then text PDF, then any PDF; of equals by name."""
     rank = F.when(F.col(name).endswith("djvu.txt"), 1).when(F.col(name).endswith("_text.pdf"), 2).when(F.col(name).endswith(".pdf"), 3)
-    ranked = files.withColumn("priority", rank).where("priority IS NOT NULL")
-    best = ranked.groupBy(item).agg(F.slice(F.array_sort(F.collect_list(F.struct("priority", name))), 1, most).alias("best"))
-    return best.select(item, F.explode("best").alias("b")).select(item, "b.*")
+    ranked = files.select(item, name, rank.alias("priority")).where("priority IS NOT NULL")
+    if most == 1:  # combined before the shuffle
+        return ranked.groupBy(item).agg(F.min(F.struct("priority", name)).alias("b")).select(item, "b.*")
+    place = F.row_number().over(Window.partitionBy(item).orderBy("priority", name))
+    return ranked.withColumn("__place", place).where(F.col("__place") <= most).select(item, "priority", name)
+
+
+def id_chunks(spark: SparkSession, low: int, high: int, chunk: int) -> DataFrame:
+    """(chunk_no, first_id, last_id): ranges of ids from low to high, both of them, in chunks."""
+    n = max(0, -(-(high - low + 1) // chunk))
+    return spark.range(n).select(F.col("id").alias("chunk_no"), (F.lit(low) + F.col("id") * chunk).alias("first_id"), F.least(F.lit(low) + (F.col("id") + 1) * chunk - 1, F.lit(high)).alias("last_id"))
+
+
+def id_scan(found: DataFrame, key: str, low: int, high: int, chunk: int) -> DataFrame:
+    """(chunk_no, first_id, last_id, n_found) of a scan of an id range: how many ids of each chunk there are; nothing is written for chunks without any."""
+    chunks = id_chunks(found.sparkSession, low, high, chunk)
+    at = F.floor((F.col(key) - low) / chunk)
+    hits = found.where((F.col(key) >= low) & (F.col(key) <= high)).select(key).distinct().groupBy(at.alias("chunk_no")).agg(F.count(F.lit(1)).alias("n_found"))
+    return chunks.join(hits, "chunk_no", "left").select("chunk_no", "first_id", "last_id", F.coalesce("n_found", F.lit(0)).alias("n_found"))
