@@ -1,5 +1,17 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+#: The CRC-32 table is made by its rule: eight shifts of each byte, with the reversed polynomial.
+OP4 = r"""
+WITH RECURSIVE step(n, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+tab AS (SELECT list(c ORDER BY n) AS t FROM step WHERE k = 8),
+bytes AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+  list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)) AS bs FROM documents),
+crc AS (SELECT doc_id, size, xor(list_reduce(bs, lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS text_crc32 FROM bytes, tab),
+placed AS (SELECT doc_id, size::BIGINT AS size, text_crc32, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM crc),
+dealt AS (SELECT doc_id, size, text_crc32, least((2 * before + size) * 24 // (2 * total), 23)::INTEGER AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM dealt
+"""
+
 OP7 = r"""
 WITH docs AS (
   SELECT doc_id,
@@ -55,4 +67,4 @@ SELECT doc_id, domain, lang, source, n_tokens,
 FROM ordered WHERE epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
 """
 
-ORACLE_SQL = {"op7_source_mix": OP7}
+ORACLE_SQL = {"op4_byte_shards": OP4, "op7_source_mix": OP7}
