@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import structure as S
 from corpusloom.operators import tokenizer as B
 from corpusloom.operators import web as H
-from corpusloom.operators.ordering import in_order
+from corpusloom.operators.ordering import in_order, shared_folder
 from corpusloom.plans.registry import CATEGORY_SQL, ORACLE_SQL, QUERIES, Read, category, lines_sql, query, strip_sql, words_sql
 from corpusloom.profiles import LATIN
 from corpusloom.sources import readers as R
@@ -225,14 +227,9 @@ def sitemap_pages(read: Read) -> DataFrame:
     return H.sitemap_urls(maps.unionByName(index), index.select("url"))
 
 
-def _files(spark, sf_dir: str, name: str) -> str:
+def _files(spark, name: str) -> str:
     """A new folder in the session's shared checkpoint folder."""
-    import uuid
-
-    from corpusloom.operators.ordering import cut
-
-    cut(spark.range(1))  # settles the checkpoint folder
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}_{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}_{uuid.uuid4().hex}"
 
 
 def parquet_texts(spark, sf_dir: str) -> DataFrame:
@@ -241,14 +238,14 @@ def parquet_texts(spark, sf_dir: str) -> DataFrame:
 
 def json_round_trip(spark, sf_dir: str) -> DataFrame:
     """Texts written as JSON lines and read again."""
-    path = _files(spark, sf_dir, "json")
+    path = _files(spark, "json")
     Wr.write_json(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path)
     return R.jsonl_texts(spark, path)
 
 
 def text_folder_lines(spark, sf_dir: str) -> DataFrame:
     """Lines of a folder of a text file a language, numbered in each file."""
-    path = _files(spark, sf_dir, "texts")
+    path = _files(spark, "texts")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(path)
     lines = R.text_folder(spark, path)

@@ -14,12 +14,15 @@ Read = Callable[[str], DataFrame]
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if it is of fewer files than there are cores: one small file is one task.
+    """df over all cores if its scan is small: fewer bytes than one partition a core may have, so that one file would be one task.
 
-    A large table has more files than that and stays as it is read, without a shuffle.
+    The size is that of the planner's statistics; a large table stays as it is read, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = cores * spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores) if size < most else df
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable:
