@@ -14,17 +14,13 @@ NUMBER_JOIN = "[.,:/-]"
 def is_gibberish(word: Column, p: LangProfile) -> Column:
     """Whether a word looks like scan noise."""
     has_block = word.rlike(f"[{p.block}]")
-    tests = (
-        (word == "")
-        | word.rlike(f"[{p.junk}]")
-        | word.rlike(r"(.)\1{3,}")
-        | (F.regexp_replace(word, r"[\p{Mn}\p{Mc}\p{Po}\p{Pc}]", "") == "")
-        | (has_block & (F.length(word) > 2) & (F.regexp_count(word, F.lit(f"[{p.base}]")) / F.length(word) < 0.3))
-    )
+    signs = [f"[{p.junk}]", r"(.)\1{3,}", r"^[\p{Mn}\p{Mc}\p{Po}\p{Pc}]*+\z"]
     if p.dependent:
-        tests |= word.rlike(f"^[{p.dependent}]")
+        signs.append(f"^[{p.dependent}]")
     if p.virama:
-        tests |= F.endswith(word, F.lit(p.virama))
+        signs.append(rf"{p.virama}\z")
+    tests = word.rlike("|".join(signs))  # one pass over the word for all signs of noise
+    tests |= has_block & (F.length(word) > 2) & (F.regexp_count(word, F.lit(f"[{p.base}]")) / F.length(word) < 0.3)
     if p.mixed_is_noise:
         tests |= has_block & word.rlike("[A-Za-z]")
     return tests
@@ -38,8 +34,7 @@ def classify(word: Column, p: LangProfile) -> Column:
     noise = word.rlike(f"[{p.own_digits}]") & word.rlike(rf"[^\p{{L}}\p{{N}}_{p.block}]")
     return (
         F.when(core.rlike(f"^[{p.digits}]+({NUMBER_JOIN}[{p.digits}]+)*$"), "digit")
-        .when((alpha == 0) & noise, "noise")
-        .when(alpha == 0, "digit")
+        .when(alpha == 0, F.when(noise, "noise").otherwise("digit"))
         .when(F.regexp_count(word, F.lit(f"[{p.block}]")) / alpha > 0.5, "target")
         .otherwise("other")
     )
@@ -74,10 +69,32 @@ def filter_words(tokens: Column, p: LangProfile) -> Column:
 
 
 def filter_document(c: Column, p: LangProfile, min_ratio: float = 0.4) -> Column:
-    """Line by line: emojis out, junk lines out, the rest sentence by sentence; empty lines go."""
-    tokens = F.transform(lines(c), lambda line: words(remove_emojis(line, p)))
-    real = F.filter(tokens, lambda t: (F.size(t) > 0) & ~is_junk(t, p, min_ratio))
-    return F.array_join(F.filter(F.transform(real, lambda t: filter_words(t, p)), lambda s: s != ""), "\n")
+    """Line by line: emojis out, junk lines out, the rest sentence by sentence; empty lines go.
+
+    The same as is_junk() and filter_words() over each line's words, but each word is classed once.
+    """
+
+    def tag(w: Column) -> Column:
+        return F.struct(w.alias("w"), is_gibberish(w, p).alias("noise"), classify(w, p).alias("t"), w.rlike(rf"{SENTENCE_END}\z").alias("ends"))
+
+    def is_real(tagged: Column) -> Column:
+        real = F.size(F.filter(tagged, lambda x: ~x["noise"] & x["t"].isin("target", "other")))
+        return (F.size(tagged) > 0) & let(real, lambda n: (n >= 1) & (n / F.size(tagged) >= min_ratio))
+
+    def sentence(tagged: Column) -> Column:
+        count = lambda kind: F.size(F.filter(tagged, lambda x: x["t"] == kind))
+        kept = F.transform(F.filter(tagged, lambda x: x["t"].isin("target", "digit")), lambda x: x["w"])
+        return F.when(count("other") <= count("target"), F.array_join(kept, " ")).otherwise("")
+
+    def in_sentences(tagged: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(tagged))
+        ends = F.filter(places, lambda i: (i == F.size(tagged)) | F.get(tagged, i - 1)["ends"])
+        parts = let(ends, lambda e: F.transform(e, lambda end, k: F.slice(tagged, F.when(k == 0, 1).otherwise(F.get(e, k - 1) + 1), end - F.when(k == 0, 0).otherwise(F.get(e, k - 1)))))
+        texts = F.transform(parts, lambda part: let(F.filter(part, lambda x: ~x["noise"]), sentence))
+        return F.array_join(F.filter(texts, lambda s: s != ""), " ")
+
+    tagged = F.transform(lines(c), lambda line: F.transform(words(remove_emojis(line, p)), tag))
+    return F.array_join(F.filter(F.transform(F.filter(tagged, is_real), in_sentences), lambda s: s != ""), "\n")
 
 
 def script_density(c: Column, p: LangProfile) -> Column:
