@@ -239,7 +239,7 @@ def license_scan(
             "is_file", F.col("license").isNotNull() & (F.col("name").rlike(FILE_NAME) | (F.col("licence_words") >= F.col("words") * file_share))
         )
     )
-    licensed = marked.where("is_file").select("directory", "license").distinct().groupBy("directory").agg(F.array_join(F.array_sort(F.collect_set("license")), " AND ").alias("license"))
+    licensed = marked.where("is_file").select("directory", "license").distinct().groupBy("directory").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("license", " AND "))))), " AND ").alias("license"))
     near = nearest_ancestors(marked.where("license IS NULL").select("directory").distinct(), licensed)
     found = marked.join(near, "directory", "left")
     origin = (
