@@ -306,14 +306,35 @@ def chrf(read: Read) -> DataFrame:
     return M.chrf(pairs(read), "id", "hyp", "ref").select(F.round("chrf", 6).alias("chrf"))
 
 
-@query(None)
+def _spaced_sql(c: str) -> str:
+    """Punctuation at a word's ends set off by spaces; what RE2 can't look ahead to is put back."""
+    before = rf"regexp_replace({c}, '([^\p{{L}}\p{{N}}\s])(\s|$)', ' \1\2', 'g')"
+    return rf"regexp_replace({before}, '(^|\s)([^\p{{L}}\p{{N}}\s])', '\1\2 ', 'g')"
+
+
+SPACED_PAIRS = CHAR_PAIRS[:-1] + f"), q AS MATERIALIZED (SELECT id, {words_sql(_spaced_sql('hyp'))} AS h, {words_sql(_spaced_sql('ref'))} AS r FROM p)"
+_PLUS = [overlap_sql(char_grams_sql("h", n), char_grams_sql("r", n), n) for n in range(1, 7)] + [
+    overlap_sql(word_grams_sql("h", n), word_grams_sql("r", n), 6 + n).replace("FROM p)", "FROM q)") for n in (1, 2)
+]
+
+
+@query(f"WITH {SPACED_PAIRS}, o AS (" + " UNION ALL ".join(_PLUS) + ")" + CHRF_END)
 def chrfpp(read: Read) -> DataFrame:
     return M.chrf(pairs(read), "id", "hyp", "ref", word_order=2).select(F.round("chrf", 6).alias("chrf"))
 
 
-@query(None)
+#: The table's rows one after another: a row is the running maximum of what is above, and above to the left with a match.
+LCS_SQL = "list_reduce(list_prepend(list_transform(r, lambda y: 0), list_transform(h, lambda x: list_transform(r, lambda y: (x = y)::INTEGER))), lambda row, eq: list_transform(range(1, len(row) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(row[k], CASE WHEN k > 1 THEN row[k - 1] ELSE 0 END + eq[k])))::INTEGER))[-1]"
+
+
+@query(
+    f"WITH {WORD_PAIRS}, l AS (SELECT len(h) AS nh, len(r) AS nr, CASE WHEN len(h) = 0 OR len(r) = 0 THEN 0 ELSE {LCS_SQL} END AS l FROM p),"
+    " s AS (SELECT CASE WHEN nh > 0 THEN l / nh ELSE 0 END AS p, CASE WHEN nr > 0 THEN l / nr ELSE 0 END AS r FROM l)"
+    " SELECT round(100 * avg(p), 6) AS rouge_l_p, round(100 * avg(r), 6) AS rouge_l_r, round(100 * avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS rouge_l_f FROM s"
+)
 def rouge_l(read: Read) -> DataFrame:
-    return M.rouge_l(pairs(read), "hyp", "ref")
+    found = M.rouge_l(pairs(read), "hyp", "ref")
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
 
 
 #: Labelled documents as predictions: correct if of good quality, by language and by hops, the length class.
