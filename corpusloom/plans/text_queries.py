@@ -256,8 +256,12 @@ def wikitext_strip(read: Read) -> DataFrame:
     return read("pages").select("page_id", F.length(plain).cast("bigint").alias("n_chars"), F.md5(plain.cast("binary")).alias("digest"))
 
 
-@query(None)
+_MISREAD = "(CASE doc_id % 3 WHEN 0 THEN '(క్ర ' || text WHEN 1 THEN text || ' [''ప్ర' ELSE '{కర ' || text END)"
+
+
+@query(f"SELECT doc_id, regexp_replace({_MISREAD}, '[(\\[{{](['' \"‘“\\s]*[\\x{{0C15}}-\\x{{0C39}}]్\\x{{0C30}})', '\\1', 'g') AS fixed FROM documents")
 def ravattu_brackets(read: Read) -> DataFrame:
-    """The repair of misread brackets, a no-op on Latin script: texts that it changes."""
-    fixed = T.fix_ravattu_brackets(F.col("text"), TELUGU)
-    return read("documents").select("doc_id", (fixed != F.col("text")).alias("changed"))
+    """The repair of misread brackets: before a consonant cluster with ra they go, before others they stay."""
+    before = F.concat(F.lit("(క్ర "), "text"), F.concat("text", F.lit(" ['ప్ర"))
+    misread = F.when(F.col("doc_id") % 3 == 0, before[0]).when(F.col("doc_id") % 3 == 1, before[1]).otherwise(F.concat(F.lit("{కర "), "text"))
+    return read("documents").select("doc_id", T.fix_ravattu_brackets(misread, TELUGU).alias("fixed"))
