@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,12 +133,26 @@ def token_shards(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", ids("content").alias("tokens"))
 
 
-def shard_windows(shards: DataFrame, context: int) -> DataFrame:
-    """(path, start, x, y) of every window; a shard of no more than `context` tokens is an error."""
-    from corpusloom.operators.split import training_windows
+def shard_windows(shards: DataFrame, context: int, rows: int = 1024) -> DataFrame:
+    """(path, start, x, y) of every window; a shard of no more than `context` tokens is an error.
 
-    checked = shards.withColumn("tokens", F.when(F.size("tokens") > context, F.col("tokens")).otherwise(F.raise_error(F.concat(F.lit("too few tokens in "), F.col("path")))))
-    return checked.select("path", F.explode(training_windows(F.col("tokens"), context)).alias("w")).select("path", "w.*")
+    Windows are views of the shard's tokens and leave it `rows` at a time: a shard is held once, not context times.
+    """
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, tokens in zip(batch.column(0), batch.column(1), strict=True):
+                ids = tokens.values.to_numpy()
+                if len(ids) <= context:
+                    raise ValueError(f"too few tokens in {path.as_py()}")
+                views = np.lib.stride_tricks.sliding_window_view(ids, context)
+                for at in range(0, len(ids) - context, rows):
+                    upto = min(at + rows, len(ids) - context)
+                    sides = [pa.ListArray.from_arrays(np.arange(upto - at + 1, dtype=np.int32) * context, views[k : k + upto - at].ravel()) for k in (at, at + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * (upto - at)), pa.array(np.arange(at, upto, dtype=np.int64)), *sides], ["path", "start", "x", "y"])
+
+    kept = shards.select("path", F.col("tokens").cast("array<bigint>").alias("tokens"))
+    return kept.mapInArrow(cut_up, "path string, start bigint, x array<bigint>, y array<bigint>")
 
 
 def training_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

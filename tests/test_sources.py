@@ -78,3 +78,40 @@ def test_paragraph_stream(spark, tmp_path):
     q = paragraph_stream(lines, "source", "value").writeStream.format("memory").queryName("paras").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.paragraph for r in spark.table("paras").collect()] == ["one\ntwo"]
+
+
+def test_clean_folder_mirrors_the_tree(spark, tmp_path):
+    root, out = tmp_path / "in", tmp_path / "out"
+    (root / "a/b").mkdir(parents=True)
+    (root / "a/b/one.txt").write_text("x1\ny2\n" * 50)
+    (root / "two.txt").write_text("12345")
+    clean = lambda c: F.regexp_replace(c, "[0-9]", "")
+    files = R.whole_files(spark, str(root))
+    got = {r.path.rsplit("/", 1)[1]: (r.chars_before, r.chars_after) for r in Wr.clean_folder(files, str(root), str(out), clean, flush_chars=40).collect()}
+    assert got == {"one.txt": (300, 200), "two.txt": (5, 0)}
+    assert (out / "a/b/one.txt").read_text() == "x\ny\n" * 50 and (out / "two.txt").read_text() == ""
+    assert sorted(p.name for p in out.rglob("*") if p.is_file()) == ["one.txt", "two.txt"]
+    (root / "three.txt").write_text("z9")
+    again = Wr.clean_folder(R.whole_files(spark, str(root)), str(root), str(out), clean)
+    assert [(r.chars_before, r.chars_after, r.retained_pct) for r in again.collect()] == [(2, 1, 50.0)]
+
+
+def test_texts_on_end(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c\nd")], "i int, t string")
+    Wr.concatenate(df, "i", "t", str(tmp_path / "o"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "o").glob("part-*"))) == "a\nb\nc\nd\n"
+    rows = spark.createDataFrame([("T", "body")], "title string, text string")
+    assert [r.value for r in Wr.articles_text(rows).collect()] == ["=== T ===\nbody\n"]
+
+
+def test_readers_of_lines_and_files(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("two")
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "all.txt").write_text("merged")
+    got = R.merge_folder(spark, str(tmp_path), output="all.txt").orderBy("file_no").collect()
+    assert [(r.file_no, r.text) for r in got] == [(0, "one"), (1, "two")]
+    (tmp_path / "c.yaml").write_text("model:\n  d: 4\n  name: x\nsteps: 10\n")
+    assert [(r.key, r.value) for r in R.yaml_configs(spark, [str(tmp_path / "c.yaml")]).collect()] == [("model.d", "4"), ("model.name", "x"), ("steps", "10")]
+    (tmp_path / "log.txt").write_text("run01_base_gelu_ctx128_bs8_lr1e-3\nstep 1 loss=2.5\nstep 2 loss=2.0\nval_loss=1.9 ppl=6.7 bpb=1.2\n")
+    row = R.sweep_console(spark, str(tmp_path / "log.txt")).first()
+    assert (row.run.run_no, row.steps, row.val_loss, row.ppl, row.bpb) == (1, [2.5, 2.0], 1.9, 6.7, 1.2)
