@@ -4,10 +4,11 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import lines, mask_digits, split_prefixed_line, strip
+from corpusloom.operators.ordering import in_order_by_group
 
 MAX_LINES, MAX_CHARS = 5_000, 500_000
 #: Fixed value: a line that is only a page number.
@@ -37,8 +38,8 @@ def split_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def paragraphs_by_blank(df: DataFrame, source: str, order: str = "line_no", value: str = "value") -> DataFrame:
     """(source, para_no, paragraph): lines of each source up to a blank line, joined by line feeds."""
-    stream = Window.partitionBy(source).orderBy(order)
-    grouped = df.withColumn("para_no", F.sum(F.when(strip(F.col(value)) == "", 1).otherwise(0)).over(stream)).where(strip(F.col(value)) != "")
+    blank = strip(F.col(value)) == ""
+    grouped = _numbered(df.select(source, order, value), source, order, blank).where(~blank)
     return _assemble(grouped, [source, "para_no"], order, F.col(value))
 
 
@@ -51,8 +52,7 @@ def paragraphs_by_prefix(df: DataFrame, source: str, order: str = "line_no", val
     """
     prefix, content = split_prefixed_line(F.col(value))
     split = df.select(source, order, prefix.alias("prefix"), content.alias("content")).where("prefix <> ''")
-    stream = Window.partitionBy(source).orderBy(order)
-    grouped = split.withColumn("para_no", F.sum(F.when(F.col("content") == "", 1).otherwise(0)).over(stream)).where("content <> ''")
+    grouped = _numbered(split, source, order, F.col("content") == "").where("content <> ''")
     sizes = grouped.groupBy(source, "para_no").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
     grouped = grouped.join(sizes, [source, "para_no"])
     large = (F.col("n") >= max_lines) | (F.col("chars") >= max_chars)
@@ -74,6 +74,12 @@ def paragraphs_by_prefix(df: DataFrame, source: str, order: str = "line_no", val
     return _assemble(both, [source, "para_no", "part"], order, F.col("content"), first)
 
 
+def _numbered(df: DataFrame, source: str, order: str, ends: Column) -> DataFrame:
+    """df with para_no, how many lines of the source up to this one end a paragraph, by prefix sums: a source is no task."""
+    placed = in_order_by_group(df.withColumn("__end", F.when(ends, 1).otherwise(0).cast("bigint")), source, [order], ("__end",))
+    return placed.withColumn("para_no", F.col("__end_before") + F.col("__end")).drop("row", "__end", "__end_before")
+
+
 def _assemble(df: DataFrame, keys: list[str], order: str, value: Column, *more: Column) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))))
     return df.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["v"]), "\n").alias("paragraph"), *more)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +35,52 @@ def plain(html: Column) -> Column:
     return strip(decode_references(F.regexp_replace(html, r"<[^>]*>", "")))
 
 
+def outer_boxes(html: Column) -> Column:
+    """The content of each div, section or main that is in no other one, with all that is in it.
+
+    Their tags are told apart as opening and closing only; a box that never closes goes on to the
+    end, and a closing tag without a box is nothing.
+    """
+    marked = F.regexp_replace(html, "[\\x01-\\x03]", "")
+    marked = F.regexp_replace(marked, r"(?i)<(?:div|section|main)\b[^>]*>", "\x01\x02")
+    marked = F.regexp_replace(marked, r"(?i)</(?:div|section|main)\s*>", "\x01\x03")
+
+    def find(parts: Column) -> Column:
+        """Each part but the first begins with a mark of its tag."""
+        places = F.sequence(F.lit(1), F.size(parts))
+        at = lambda i: F.get(parts, i - 1)
+        none = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("start"), F.array().cast("array<struct<start:int,end:int>>").alias("boxes"))
+
+        def step(now: Column, i: Column) -> Column:
+            opens, closes = at(i).startswith("\x02"), at(i).startswith("\x03")
+            done = closes & (now["depth"] == 1)
+            return F.struct(
+                F.when(opens, now["depth"] + 1).when(closes, F.greatest(now["depth"] - 1, F.lit(0))).otherwise(now["depth"]).alias("depth"),
+                F.when(opens & (now["depth"] == 0), i).otherwise(now["start"]).alias("start"),
+                F.when(done, F.array_append(now["boxes"], F.struct(now["start"].alias("start"), (i - 1).alias("end")))).otherwise(now["boxes"]).alias("boxes"),
+            )
+
+        def finish(now: Column) -> Column:
+            last = F.struct(now["start"].alias("start"), F.size(parts).alias("end"))
+            return F.when(now["depth"] > 0, F.array_append(now["boxes"], last)).otherwise(now["boxes"])
+
+        spans = F.aggregate(places, none, step, finish)
+        return F.transform(spans, lambda b: F.translate(F.array_join(F.slice(parts, b["start"], b["end"] - b["start"] + 1), ""), "\x02\x03", ""))
+
+    return let(F.split(marked, "\x01"), find)
+
+
 def fallback_text(html: Column, least: int = 20, container: int = 100) -> Column:
-    """Paragraphs of over `least` characters in the article, or else the longest div or section of at least `container`; null if neither."""
+    """Paragraphs of over `least` characters in the article, or else the longest div or section of at least `container`; null if neither.
+
+    A box within another is never longer than that one, so only outer boxes are looked at.
+    """
     clean = without_elements(html)
 
     def pick(h: Column) -> Column:
         article = F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
         paragraphs = F.filter(F.transform(F.regexp_extract_all(article, F.lit(r"(?is)<p\b[^>]*>(.*?)(?=<p\b|</p\s*>|$)"), F.lit(1)), plain), lambda p: F.length(p) > least)
-        boxes = F.filter(F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<(?:div|section|main)\b[^>]*>(.*?)</(?:div|section|main)\s*>"), F.lit(1)), plain), lambda p: F.length(p) >= container)
+        boxes = F.filter(F.transform(outer_boxes(h), plain), lambda p: F.length(p) >= container)
         longest = F.element_at(F.sort_array(F.transform(boxes, lambda b: F.struct(F.length(b).alias("n"), b.alias("b")))), -1)["b"]
         return F.when(F.size(paragraphs) > 0, F.array_join(paragraphs, "\n")).when(F.size(boxes) > 0, longest)
 
@@ -53,6 +93,12 @@ def visible_text(html: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(text, "\n"), strip), lambda line: line != ""), "\n")
 
 
+def first_long_enough(html: Column, extractors: list[Callable[[Column], Column]], least: int = 100) -> Column:
+    """What the first extractor gives whose text has `least` characters; if none has, what the last one gives."""
+    found = [extract(html) for extract in extractors]
+    return F.coalesce(*[F.when(F.length(text) >= least, text) for text in found[:-1]], found[-1])
+
+
 def absolute(href: Column, base: Column) -> Column:
     """A link as seen from the page's address: absolute, of the scheme, of the root, or beside the page."""
     scheme, host = F.regexp_extract(base, r"^(https?):", 1), F.regexp_extract(base, r"^https?://([^/?#]+)", 1)

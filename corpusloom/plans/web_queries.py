@@ -26,18 +26,34 @@ def without_sql(c: str, tags: tuple[str, ...]) -> str:
     return c
 
 
-@query(
-    f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({decode_sql(f'''regexp_replace({without_sql('html', H.VISIBLE_DROPPED)}, '<[^>]*>', chr(10), 'g')''')}, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> ''), chr(10)) AS text FROM pages"
-)
+VISIBLE_SQL = f"array_to_string(list_filter(list_transform(string_split({decode_sql(f'''regexp_replace({without_sql('html', H.VISIBLE_DROPPED)}, '<[^>]*>', chr(10), 'g')''')}, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> ''), chr(10))"
+
+
+@query(f"SELECT page_id, {VISIBLE_SQL} AS text FROM pages")
 def html_visible_text(read: Read) -> DataFrame:
     return read("pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
 
 
-@query(None)
+def plain_sql(c: str) -> str:
+    return strip_sql(decode_sql(f"regexp_replace({c}, '<[^>]*>', '', 'g')"))
+
+
+#: A paragraph ends at its closing tag or where the next one begins.
+ARTICLE_SQL = f"regexp_extract({without_sql('html', H.DROPPED)}, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)"
+PARAGRAPHS_SQL = f"list_transform(string_split_regex({ARTICLE_SQL}, '(?i)<p\\b[^>]*>')[2:], lambda x: {plain_sql("regexp_replace(x, '(?is)</p\\s*>.*$', '')")})"
+MAIN_SQL = f"nullif(array_to_string(list_filter({PARAGRAPHS_SQL}, lambda x: length(x) > 20), chr(10)), '')"
+
+
+@query(f"SELECT page_id, {MAIN_SQL} AS text FROM pages")
 def html_main_text(read: Read) -> DataFrame:
     return read("pages").select("page_id", H.fallback_text(F.col("html")).alias("text"))
 
 
+@query(f"SELECT page_id, CASE WHEN length(main) >= 1000 THEN main ELSE visible END AS text FROM (SELECT page_id, {MAIN_SQL} AS main, {VISIBLE_SQL} AS visible FROM pages)")
+def html_extractor_chain(read: Read) -> DataFrame:
+    return read("pages").select("page_id", H.first_long_enough(F.col("html"), [H.fallback_text, H.visible_text], 1000).alias("text"))
+
+
 LINKS_SQL = r"""
 SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS src, regexp_replace(CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href ELSE href END, '[?#].*$', '') AS dst
 FROM (SELECT url, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1))) AS href FROM pages)

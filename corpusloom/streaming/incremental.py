@@ -19,20 +19,28 @@ def exact_dedup_stream(stream: DataFrame, text: str) -> DataFrame:
     return stream.withColumn("digest", F.md5(F.col(text).cast("binary"))).dropDuplicates(["digest"]).drop("digest")
 
 
-def paragraph_stream(lines: DataFrame, source: str, value: str) -> DataFrame:
-    """(source, paragraph): lines of each source, in order of arrival, up to a blank one; the state is the open paragraph."""
+def paragraph_stream(lines: DataFrame, source: str, value: str, order: str | None = None) -> DataFrame:
+    """(source, paragraph): lines of each source up to a blank one; the state is the open paragraph.
+
+    Lines are in the order of arrival, or of column `order` within a micro-batch. A null line is the
+    end of its source: the open paragraph goes out, and no state is left.
+    """
 
     def assemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get[0].split("\n") if state.exists and state.get[0] else []
-        done = []
-        for batch in batches:
+        done, ended = [], False
+        for batch in batches if order is None else [pd.concat(batches).sort_values(order, kind="stable")]:
             for line in batch[value]:
-                if line.strip():
+                ended = line is None
+                if line and line.strip():
                     held.append(line)
                 elif held:
                     done.append("\n".join(held))
                     held = []
-        state.update(("\n".join(held),))
+        if not ended:
+            state.update(("\n".join(held),))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({source: [key[0]] * len(done), "paragraph": done})
 
     return lines.groupBy(source).applyInPandasWithState(assemble, f"{source} string, paragraph string", "held string", "append", GroupStateTimeout.NoTimeout)

@@ -97,6 +97,20 @@ def test_paragraphs(spark):
     assert [r.paragraph for r in S.paragraphs_by_blank(df, "src").orderBy("para_no").collect()] == ["public a b", "manual c d\npublic\nmanual e\nx f"]
 
 
+def test_paragraphs_of_one_long_source(spark):
+    """Against a loop, over a source dealt over many parts and a short one; lines come in no order."""
+    lines = [("long", i, "" if i % 7 in (0, 3) else f"x line {i}") for i in range(4000)] + [("short", i, "a b") for i in range(5)]
+    want, held = [], {}
+    for source, _, value in lines:
+        if value:
+            held.setdefault(source, []).append(value)
+        elif held.get(source):
+            want.append((source, "\n".join(held.pop(source))))
+    want += [(source, "\n".join(rest)) for source, rest in held.items()]
+    df = spark.createDataFrame(lines, "src string, line_no int, value string").repartition(7, "value")
+    assert sorted((r.src, r.paragraph) for r in S.paragraphs_by_blank(df, "src").collect()) == sorted(want)
+
+
 def test_headers(spark):
     pages = [(1, p, f"My Book {p}\nbody {'abc'[p]} text\nmore\nand more\nagain\n{p}") for p in range(3)]
     got = S.strip_headers_footers(spark.createDataFrame(pages, "d int, p int, t string"), "d", "p", "t").orderBy("p").collect()
@@ -164,6 +178,12 @@ def test_web(spark):
     page = "<nav>menu</nav><article><p>short</p><p>A paragraph that is long enough &amp; kept.</p></article><a href='/x?y#z'>l</a><a href='https://o.org/q'>m</a>"
     df = spark.createDataFrame([("https://h.org/a/b?c", page)], "url string, html string")
     assert df.select(H.fallback_text(F.col("html"))).first()[0] == "A paragraph that is long enough & kept."
+    inner, outer = "inner words / " * 8, "outer words " * 5
+    boxes = [f"<div class=a>{outer}<div>{inner}</div><section>{outer}</section> end</div><div>{inner}</div>", f"</div><section>{inner}", "<div>short</div>", None]
+    got = [r[0] for r in spark.createDataFrame([(b,) for b in boxes], "html string").select(H.fallback_text(F.col("html"))).collect()]
+    assert got == [outer + inner + outer + " end", inner.strip(), None, None]
+    chain = spark.createDataFrame([(boxes[1],), (boxes[2],)], "html string").select(H.first_long_enough(F.col("html"), [H.fallback_text, H.visible_text]))
+    assert [r[0] for r in chain.collect()] == [inner.strip(), "short"]
     assert {(r.src, r.dst) for r in H.page_links(df, "url", "html").collect()} == {("https://h.org/a/b", "https://h.org/x")}
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
     found = H.reachable(edges, spark.createDataFrame([("a",)], "url string"))

@@ -80,6 +80,16 @@ def test_paragraph_stream(spark, tmp_path):
     assert [r.paragraph for r in spark.table("paras").collect()] == ["one\ntwo"]
 
 
+def test_paragraph_stream_in_order_to_the_end(spark, tmp_path):
+    """A null line ends a source; lines of a micro-batch are put in order."""
+    rows = [("f", 3, ""), ("f", 1, "one"), ("f", 5, None), ("f", 2, "two"), ("f", 4, "three"), ("g", 1, "open")]
+    spark.createDataFrame(rows, "source string, n int, value string").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    lines = spark.readStream.schema("source string, n int, value string").parquet(str(tmp_path / "rows"))
+    q = paragraph_stream(lines, "source", "value", "n").writeStream.format("memory").queryName("ends").option("checkpointLocation", str(tmp_path / "c4")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r.source, r.paragraph) for r in spark.table("ends").collect()] == [("f", "one\ntwo"), ("f", "three")]
+
+
 def test_clean_folder_mirrors_the_tree(spark, tmp_path):
     root, out = tmp_path / "in", tmp_path / "out"
     (root / "a/b").mkdir(parents=True)
