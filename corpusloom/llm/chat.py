@@ -23,6 +23,8 @@ ROWS = 256  # messages parsed at once
 _LEVEL = re.compile(r"(?:[ \t]*>)+")
 #: How a line ends that says whom the next lines quote.
 _ATTRIBUTION = re.compile(r"(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.IGNORECASE)
+#: How the line before begins if that was too long for one.
+_ATTRIBUTION_START = re.compile(r"\s*(?:On|Am|Le|El)\s")
 
 
 def split_levels(text: str | None) -> list[tuple[int, str]]:
@@ -54,12 +56,23 @@ def _units(lines: list[str]) -> set[int]:
     return {h for p in {" ".join(lines), *paragraphs, *lines} if (h := passage_hash(p)) is not None}
 
 
+def _without_attribution(run: list[str]) -> list[str]:
+    """The lines before a quote without those that say whose it is, on one line or two; blank ones may follow."""
+    last = len(run) - 1
+    while last > 0 and not run[last].strip():
+        last -= 1
+    if not _ATTRIBUTION.search(run[last]):
+        return run
+    wrapped = last > 0 and not _ATTRIBUTION_START.match(run[last]) and _ATTRIBUTION_START.match(run[last - 1]) and run[last - 1].rstrip()[-1] not in ".!?:;"
+    return run[: last - 1 if wrapped else last]
+
+
 def parse_message(text: str | None) -> tuple[str, list[int], list[tuple[int, int]], int]:
     """A message without quotes, its passages, the (level, passage) pairs it quotes, and its deepest level.
 
-    A run of lines of one level is a passage; lines deeper in are a passage of their own. A line
-    that only says who wrote what the next line quotes goes with the quote. A passage of fewer than
-    three words links nothing.
+    A run of lines of one level is a passage; lines deeper in are a passage of their own. What only
+    says who wrote what comes next, a level deeper, goes with the quote, at any level. A passage of
+    fewer than three words links nothing.
     """
     lines = split_levels(text)
     own, quotes, at = [], set(), 0
@@ -68,9 +81,9 @@ def parse_message(text: str | None) -> tuple[str, list[int], list[tuple[int, int
         while end < len(lines) and lines[end][0] == level:
             end += 1
         run = [content for _, content in lines[at:end]]
+        if end < len(lines) and lines[end][0] > level:
+            run = _without_attribution(run)
         if level == 0:
-            if end < len(lines) and _ATTRIBUTION.search(run[-1]):
-                run.pop()
             own += run
         else:
             quotes |= {(level, unit) for unit in _units(run)}
@@ -115,8 +128,9 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     lowest found level belong to, of equals the latest; only earlier turns count. Threads, which
     begin with a message that replies to none, follow by their first turn, and messages in a thread
     by turn; position counts from 0. A null text counts as empty, a null conv_id or turn is kept,
-    links to nothing and comes first. Repeated rows are kept, parsed alike and ordered at will. An
-    empty table gives no rows; other columns are ignored.
+    links to nothing and comes first. Repeated rows are kept, parsed alike and ordered at will; rows
+    of the same conversation and turn with different texts are one message for links: what any of
+    them quotes or says counts for all, and each keeps its own text. An empty table gives no rows; other columns are ignored.
     """
     ship_code(messages.sparkSession)
     kept = messages.select(

@@ -77,6 +77,7 @@ class Stream:
     granules: list[int | None] = field(default_factory=list)
     pages: int = 0
     lost: int = 0  # pages missing by their sequence numbers
+    repeated: int = 0  # pages left out, as they or later ones were there before
     ended: bool = False
     open: bytearray | None = None
     number: int = -1
@@ -97,7 +98,8 @@ def read_ogg(data: bytes) -> Media:
     """Verify, demultiplex and reassemble an Ogg file.
 
     Pages with a wrong checksum are skipped to the next capture pattern; packets that lack a page
-    are dropped; an empty or foreign file gives no streams.
+    are dropped; of pages that come again, or late, only the first in order counts. A stream that
+    begins anew once it has ended goes on with its packets. An empty or foreign file gives no streams.
     """
     streams: dict[int, Stream] = {}
     at = pages = damaged = 0
@@ -116,6 +118,13 @@ def read_ogg(data: bytes) -> Media:
             at = found if found >= 0 else len(data)
             continue
         stream = streams.setdefault(serial, Stream(serial))
+        pages += 1
+        at += size
+        if stream.ended and flags & FIRST:
+            stream.number, stream.open = number - 1, None
+        if number <= stream.number:
+            stream.repeated += 1
+            continue
         if number != stream.number + 1:
             stream.lost += max(0, number - stream.number - 1)
             stream.open = None
@@ -136,11 +145,41 @@ def read_ogg(data: bytes) -> Media:
             stream.granules[-1] = granule
         stream.number, stream.ended = number, bool(flags & LAST)
         stream.pages += 1
-        pages += 1
-        at += size
     return Media(streams, pages, damaged)
 
 
+def clock(ident: bytes) -> tuple[int, int, int] | None:
+    """(granules a second, granules before time 0, bytes a granule or 0 if they vary) by a stream's first packet; None for unknown codecs.
+
+    Fixed values: the first packets' magic bytes and where they hold a rate, by each codec's mapping.
+    """
+    if ident.startswith(b"PCM     ") and len(ident) >= 22:
+        return int.from_bytes(ident[16:20], "big"), 0, ident[20] * ident[21] // 8
+    if ident.startswith(b"CRC32   "):
+        return RATE, 0, 0
+    if ident.startswith(b"OpusHead") and len(ident) >= 12:
+        return 48_000, int.from_bytes(ident[10:12], "little"), 0
+    if ident.startswith(b"\x01vorbis") and len(ident) >= 16:
+        return int.from_bytes(ident[12:16], "little"), 0, 0
+    if ident.startswith(b"Speex   ") and len(ident) >= 40:
+        return int.from_bytes(ident[36:40], "little"), 0, 0
+    return None
+
+
+def packet_times(stream: Stream) -> tuple[list[int | None], list[float | None]]:
+    """(granules, seconds) at each packet's end.
+
+    A page gives the granule of the last packet that ends on it. Packets before that one on the same
+    page have theirs by its size where samples have one size, else none.
+    """
+    granules, known = list(stream.granules), clock(stream.packets[0]) if stream.packets else None
+    rate, skip, size = known or (0, 0, 0)
+    for k in range(len(granules) - 2, -1, -1):
+        if granules[k] is None and granules[k + 1] is not None and size:
+            granules[k] = granules[k + 1] - len(stream.packets[k + 1]) // size
+    return granules, [None if g is None or not rate else max(0, g - skip) / rate for g in granules]
+
+
 def encode(payload: bytes) -> bytes:
     """Payload bytes as unsigned 8-bit mono samples in one stream, and their packets' CRCs in another.
 
@@ -170,7 +209,7 @@ def decode(media: bytes) -> tuple[bytes, Media, Stream]:
     read = read_ogg(media)
     sound = next((s for s in read.streams.values() if s.packets[:1] and s.packets[0].startswith(b"PCM     ")), None)
     sums = next((s for s in read.streams.values() if s.packets[:1] and s.packets[0].startswith(b"CRC32   ")), None)
-    if read.damaged or sound is None or sums is None or any(s.lost or not s.ended for s in (sound, sums)):
+    if read.damaged or sound is None or sums is None or any(s.lost or s.repeated or not s.ended for s in (sound, sums)):
         raise ValueError("damaged Ogg file")
     if [struct.pack("<I", zlib.crc32(p)) for p in sound.packets[1:]] != sums.packets[1:]:
         raise ValueError("samples differ from their checksums")
@@ -258,17 +297,17 @@ def _packet_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             key, data = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
             for s in read_ogg(data or b"").streams.values():
                 n = len(s.packets)
-                times = [None if g is None else g / RATE for g in s.granules]
+                granules, times = packet_times(s)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([key] * n, pa.int64()), pa.array([s.serial] * n, pa.int64()), pa.array(range(n), pa.int64()),
-                     pa.array(s.packets, pa.binary()), pa.array(s.granules, pa.int64()), pa.array(times, pa.float64())], names,
+                     pa.array(s.packets, pa.binary()), pa.array(granules, pa.int64()), pa.array(times, pa.float64())], names,
                 )
 
 
 def media_packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """The packets of every logical stream, with granule and seconds where a page gives them.
+    """The packets of every logical stream, with granule and seconds at their ends where these follow from the pages.
 
-    Damaged pages and packets that lack one are left out; null, empty or foreign files give no rows.
+    Seconds are by the rate in the stream's first packet, null for unknown codecs. Damaged pages and packets that lack one are left out; null, empty or foreign files give no rows.
     """
     ship_code(media.sparkSession)
     kept = media.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(media_col).alias("media"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 from corpusloom.llm.chat import link_quotes, parse_message, split_levels
 from corpusloom.llm.licenses import TEMPLATES, guard_words, license_scan, template_weights
@@ -89,6 +90,58 @@ def test_quotes_are_linked(spark):
     assert link_quotes(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def made_threads(seed, conversations=25, turns=14):
+    """Rows of made conversations, and by (conv_id, turn) the parent, own text and number of quoted passages of earlier turns."""
+    rng, rows, truth = random.Random(seed), [], {}
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    for conv in range(conversations):
+        own, parents = {}, {}
+        for turn in range(turns):
+            own[turn] = [" ".join(word() for _ in range(rng.randint(4, 40))) for _ in range(rng.randint(1, 4))]
+            parents[turn] = parent = rng.choice([None, *range(turn)]) if turn else None
+            lines, linked, above, level = [], 0, parent, 1
+            blocks = []
+            while above is not None and level <= rng.choice((1, 2, 4)):
+                taken = sorted(rng.sample(range(len(own[above])), rng.randint(1, len(own[above]))))
+                blocks.append((level, [own[above][k] for k in taken]))
+                above, level = parents[above], level + 1
+            mark = lambda n: rng.choice(("", " ")).join(">" * n) + " " if n else ""
+            said = lambda: rng.choice((["X wrote:"], ["On Monday, the 3rd of May, X Y", "<x@y> wrote:"], ["Y schrieb:", ""]))
+            for n in range(1, len(blocks) + 1):
+                lines += [mark(n - 1) + x for x in said()]
+            for n, paragraphs in reversed(blocks):
+                width = rng.randint(30, 80)
+                for k, paragraph in enumerate(paragraphs):
+                    lines += ([mark(n)] if k else []) + [mark(n) + x.upper() for x in textwrap.wrap(paragraph, width)]
+            text = "\n\n".join(own[turn])
+            rows.append((conv, turn, "u", "\n".join([*lines, "", text]) if lines else text))
+            truth[conv, turn] = (parent, text, [(n, p) for n, p in blocks])
+    return rows, truth
+
+
+def test_made_threads_are_linked(spark):
+    """Nested, attributed and re-wrapped quotes of made threads, against how they were made."""
+    for seed in (1, 2):
+        rows, truth = made_threads(seed)
+        got = {(r.conv_id, r.turn): r for r in link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)).collect()}
+        assert got.keys() == truth.keys()
+        for (conv, turn), (parent, text, blocks) in truth.items():
+            r, root = got[conv, turn], turn
+            while truth[conv, root][0] is not None:
+                root = truth[conv, root][0]
+            assert (r.reply_to, r.thread, r.text, r.quote_depth) == (parent, root, text, len(blocks)), (conv, turn, rows[conv * 14 + turn][3])
+            assert r.n_linked >= sum(len(p) for _, p in blocks)
+        for conv in {c for c, _ in truth}:
+            ordered = sorted((r for r in got.values() if r.conv_id == conv), key=lambda r: (r.thread, r.turn))
+            assert [r.position for r in ordered] == list(range(len(ordered)))
+
+
+def test_rows_of_one_turn_are_one_message(spark):
+    rows = [(1, 0, "u", "the first message of all here"), (1, 1, "u", "> the first message of all here\nyes"), (1, 1, "u", "something else on the same turn"), (1, 2, "u", "> something else on the same turn\nso")]
+    got = sorted((r.turn, r.text, r.reply_to) for r in link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect())
+    assert got == [(0, rows[0][3], None), (1, "something else on the same turn", 0), (1, "yes", 0), (2, "so", 1)]
+
+
 def test_guards_lose_nothing():
     rows, _, _ = template_weights(TEMPLATES)
     guards = set(guard_words(rows, 0.8))

@@ -74,6 +74,28 @@ def test_packets_of_full_segments():
     assert stream.packets == [p for p, _ in packets] and stream.granules[-1] == 140_765 and -1 in [g for g, _ in pages]
 
 
+def test_repeated_pages_and_packet_times():
+    data = random.Random(5).randbytes(300_032)
+    media = O.encode(data)
+    want, pages, at = O.read_ogg(media), [], 0
+    while at < len(media):
+        n = media[at + 26]
+        size = 27 + n + sum(media[at + 27 : at + 27 + n])
+        pages.append(media[at : at + size])
+        at += size
+    again = O.read_ogg(b"".join(p for k, page in enumerate(pages) for p in ([page, page] if k in (0, 3, len(pages) - 2) else [page])))
+    assert [s.packets for s in again.streams.values()] == [s.packets for s in want.streams.values()] and not any(s.lost for s in again.streams.values())
+    assert sum(s.repeated for s in again.streams.values()) == 3
+    sound = next(iter(want.streams.values()))
+    granules, seconds = O.packet_times(sound)
+    ends = [sum(map(len, sound.packets[1 : k + 1])) for k in range(len(sound.packets))]
+    assert granules == ends and seconds == [e / O.RATE for e in ends] and None in sound.granules
+    twice = O.read_ogg(media + media)  # a chain of two files
+    assert next(iter(twice.streams.values())).packets == sound.packets * 2
+    assert O.clock(b"OpusHead\x01\x02\x38\x01" + bytes(7)) == (48_000, 312, 0) and O.clock(b"\x01vorbis" + bytes(4) + b"\x02" + (44_100).to_bytes(4, "little")) == (44_100, 0, 0)
+    assert O.clock(b"theora?") is None
+
+
 def test_digests(spark):
     rows = [(1, "é" * 40, "x"), (2, None, "x"), (3, "", "x"), (1, "é" * 40, "y"), (None, "long " * 50_000, "z")]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, feature string")
