@@ -90,6 +90,23 @@ def test_brute_force_finds_no_more(spark):
     assert len(brute - got) <= 0.1 * len(brute) and got <= brute
 
 
+def test_found_leaks_hold_by_plain_rules(spark):
+    """Shares and places of every leak found, recomputed with the plain table of subsequences alone."""
+    docs, items, _ = corpus()
+    table = spark.createDataFrame(docs, "doc_id bigint, text string, x string")
+    got = D.find_leaks(table, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    text, item, checks = {d: t.lower().replace(",", " ").split() for d, t, _ in docs}, {i: t.split() for i, t in items}, D.Checks()
+    assert got
+    for r in got:
+        own, all_ = item[r.item_id], text[r.doc_id]
+        span = all_[r.first_word : r.first_word + r.n_words]
+        assert len(span) == r.n_words and {span[0], span[-1]} <= set(own)
+        assert lcs(own, span) >= r.lcs_share * len(own) - 1e-9 and r.lcs_share >= checks.lcs and r.lcs_share * len(own) >= checks.density * r.n_words - 1e-9
+        answer = own[-max(3, len(own) // 4) :]
+        near = lcs(answer, all_[r.first_word : r.first_word + r.n_words + len(answer)]) / len(answer)
+        assert near >= r.answer_share - 1e-9 >= checks.answer - 1e-9
+
+
 def test_a_leak_in_a_third_of_all_rows(spark):
     docs, items, truth = corpus()
     hot = [(1000 + k, docs[4][1]) for k in range(len(docs) // 2)]
