@@ -8,16 +8,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.text import label_of, split_prefixed_line, strip, strip_wikitext
-from corpusloom.operators.ordering import in_order
+from corpusloom.operators.ordering import cut, in_order
 
 #: Titles that begin so are no articles.
 NAMESPACES = ("వికీపీడియా:", "దస్త్రం:", "మూస:", "వర్గం:", "సహాయం:", "Wikipedia:", "Template:", "Category:", "File:", "Help:", "MediaWiki:")
 
+SMALL = 100_000  # splits of files that may be broadcast
+
 
 def whole_files(spark: SparkSession, path: str, ignore_bad_bytes: bool = False) -> DataFrame:
     """(path, text) a file; bytes that are not UTF-8 become U+FFFD, or are left out if asked for."""
@@ -34,14 +36,22 @@ def _decode_ignoring(content: pd.Series) -> pd.Series:
 def text_folder(spark: SparkSession, path: str, glob: str = "*.txt", exclude: tuple[str, ...] = ()) -> DataFrame:
     """(path, line_no, value): lines of the text files under a folder, but for named subfolders.
 
-    Lines are numbered in each file by their place; files are read whole by a task each, for a
-    file's lines have no order across splits.
+    Lines end with a line feed, with or without a carriage return, and are numbered from 0 in their
+    file. A file is read in splits, so that its size has no bound: lines of a split have ids without
+    gaps, and the splits' line counts, a row a split, are summed up in order of their place. Lines
+    are not shuffled while the splits are few enough to broadcast. An empty file has no lines.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
-    named = files.select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
+    read = files.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"), "value"
+    )
+    splits = read.groupBy("path", "__at").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__lines"))
+    before = F.sum("__lines").over(Window.partitionBy("path").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    splits = cut(splits.select("path", "__at", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift")))
+    placed = read.join(F.broadcast(splits) if splits.count() <= SMALL else splits, ["path", "__at"])
     for folder in exclude:
-        named = named.where(~F.contains("path", F.lit(f"/{folder}/")))
-    return named.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line_no", "value"))
+        placed = placed.where(~F.contains("path", F.lit(f"/{folder}/")))
+    return placed.select("path", (F.col("__id") + F.col("__shift")).alias("line_no"), F.regexp_replace("value", r"\r\z", "").alias("value"))
 
 
 def merge_folder(spark: SparkSession, path: str, output: str | None = None) -> DataFrame:

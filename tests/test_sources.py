@@ -21,6 +21,25 @@ def test_text_readers(spark, tmp_path):
     assert R.whole_files(spark, str(tmp_path / "bad.txt"), True).first()["text"] == "ab"
 
 
+def test_lines_of_files_in_many_splits(spark, tmp_path):
+    """Numbers of lines do not depend on where splits begin, nor do line ends and empty lines."""
+    files = {"a": [f"line {i} " + "x" * (i * 7 % 50) for i in range(3000)], "b/c": ["", "one", "", "", "é two", ""], "d": [], "e": ["last without end"]}
+    for name, lines in files.items():
+        (tmp_path / "s" / name).parent.mkdir(parents=True, exist_ok=True)
+        end = "\r\n" if name == "a" else "\n"
+        (tmp_path / "s" / f"{name}.txt").write_bytes((end.join(lines) + (end if name in ("a", "b/c") else "")).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "1000", "4096"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = {}
+            for r in R.text_folder(spark, str(tmp_path / "s")).collect():
+                found.setdefault(r.path.split("/s/")[1].removesuffix(".txt"), {})[r.line_no] = r.value
+            assert {k: [v[i] for i in range(len(v))] for k, v in found.items()} == {k: v for k, v in files.items() if v}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_json_readers(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"text": " one "}\nnot json\n{"text": ""}\n{"text": "two"}\n')
     assert sorted(r.text for r in R.jsonl_texts(spark, str(tmp_path / "a.jsonl")).collect()) == ["one", "two"]
