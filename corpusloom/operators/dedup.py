@@ -67,12 +67,14 @@ def char_bands(df: DataFrame, key: str, text: Column, n: int = 3, perms: int = 1
     return bands(signatures(df, key, char_ngrams(text, n), perms), key, n_bands, rows)
 
 
-def greedy_verdicts(band_rows: DataFrame, key: str, kept_bands: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
+def greedy_verdicts(band_rows: DataFrame, key: str, kept_bands: DataFrame | None = None) -> DataFrame:
     """(key, verdict, dup_of): keep a row unless an earlier kept row shares a band with it.
 
     The lexicographically first maximal independent set of the collision graph: a row is dropped if
     a smaller kept row shares a band, kept if no smaller undecided row does. kept_bands are rows of
-    bands (band_id, band_hash, kept_key) kept before; they come before all others.
+    bands (band_id, band_hash, kept_key) kept before; they come before all others. A round decides
+    the least open row at least, so the rounds end, however long a chain of collisions is; rows that
+    nothing can decide, those of null keys or bands, are an error.
     """
     rows = band_rows
     if kept_bands is not None:
@@ -83,7 +85,8 @@ def greedy_verdicts(band_rows: DataFrame, key: str, kept_bands: DataFrame | None
     state = cut(rows.withColumn("state", F.when(F.col("old").isNotNull(), "drop")))
     # A row with any old band is dropped as a whole.
     state = cut(_spread(state, key))
-    for _ in range(max_rounds):
+    left = state.where("state IS NULL").count()
+    while left:
         least = state.groupBy("band_id", "band_hash").agg(
             F.min(F.when(F.col("state") == "keep", F.col(key))).alias("low_kept"),
             F.min(F.when(F.col("state").isNull(), F.col(key))).alias("low_open"),
@@ -94,10 +97,9 @@ def greedy_verdicts(band_rows: DataFrame, key: str, kept_bands: DataFrame | None
         )
         new = decided.select(key, F.when(F.col("hit"), "drop").when(F.col("first"), "keep").alias("now"))
         state = cut(state.join(new, key, "left").withColumn("state", F.coalesce("state", "now")).drop("now"))
-        if state.where("state IS NULL").limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError(f"selection did not settle in {max_rounds} rounds")
+        before, left = left, state.where("state IS NULL").count()
+        if left == before:
+            raise ValueError(f"{left} rows of bands have a null key or band")
     kept = state.where("state = 'keep'").groupBy("band_id", "band_hash").agg(F.min(key).alias("low"))
     found = state.join(kept, ["band_id", "band_hash"], "left").groupBy(key).agg(
         F.max("state").alias("verdict"), F.coalesce(F.min("old"), F.min(F.when(F.col("low") < F.col(key), F.col("low")))).alias("dup_of")
