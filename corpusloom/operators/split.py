@@ -16,8 +16,6 @@ from corpusloom.operators.ordering import cut, in_order, in_order_by_group
 TARGETS = {"train_manual": 98_000_000, "train_public": 392_000_000, "val": 5_000_000, "test": 5_000_000}
 
 
-
-
 def quota_split(df: DataFrame, category: str, order: str, tokens: str, targets: dict[str, int] = TARGETS) -> DataFrame:
     """df with `split`, filled in input order: a row goes where the tokens before it are below target.
 
@@ -86,7 +84,7 @@ def round_robin(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -
 
 
 def training_windows(tokens: Column, length: int) -> Column:
-    """Every (start, x, y): length tokens from each start and the same shifted by one; none if there are too few."""
+    """Every (start, x, y): length tokens from each start and the same shifted by one; none if there are too few. All in one row: see window_rows for long texts."""
     def cut_up(a: Column) -> Column:
         n = F.size(a) - length
         pair = lambda i: F.struct((i - 1).alias("start"), F.slice(a, i, length).alias("x"), F.slice(a, i + 1, length).alias("y"))
@@ -95,6 +93,18 @@ def training_windows(tokens: Column, length: int) -> Column:
     return let(tokens, cut_up)
 
 
+def window_rows(df: DataFrame, keys: list[str], tokens: Column, length: int) -> DataFrame:
+    """(keys, start, x, y): the windows of training_windows(), a row each.
+
+    A window is cut as its row leaves: a text's tokens are held once, not `length` times.
+    """
+    n = F.size("__tokens") - length
+    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1))))
+    placed = df.select(*keys, tokens.alias("__tokens")).select("*", F.explode(starts).alias("__at"))
+    piece = lambda shift: F.slice("__tokens", F.col("__at") + shift, length)
+    return placed.select(*keys, (F.col("__at") - 1).alias("start"), piece(0).alias("x"), piece(1).alias("y"))
+
+
 def positions(n_tokens: Column, context: int) -> Column:
     return F.greatest(n_tokens - context, F.lit(0))
 

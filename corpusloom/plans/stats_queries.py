@@ -176,8 +176,20 @@ def stratified_40(read: Read) -> DataFrame:
 
 @query(f"SELECT item_id, unnest(range(0, len(w) - 8))::INTEGER AS start, array_to_string(w[start + 1:start + 8], ' ') AS x, array_to_string(w[start + 2:start + 9], ' ') AS y FROM (SELECT item_id, {words_sql()} AS w FROM benchmark) WHERE len(w) > 8")
 def training_windows(read: Read) -> DataFrame:
-    w = read("benchmark").select("item_id", F.explode(W.training_windows(T.words(F.col("text")), 8)).alias("w"))
-    return w.select("item_id", "w.start", F.array_join("w.x", " ").alias("x"), F.array_join("w.y", " ").alias("y"))
+    return _windows(read("benchmark"), "item_id")
+
+
+@query(f"""SELECT doc_id, (i - 1)::INTEGER AS start, array_to_string(x, ' ') AS x, array_to_string(y, ' ') AS y
+FROM (SELECT doc_id, i, n, list(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS x, list(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS y
+  FROM (SELECT doc_id, len(ws) AS n, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT doc_id, {words_sql()} AS ws FROM documents))) WHERE i + 8 <= n""")
+def training_windows_documents(read: Read) -> DataFrame:
+    """Windows over whole documents, long ones too."""
+    return _windows(read("documents"), "doc_id")
+
+
+def _windows(df: DataFrame, key: str) -> DataFrame:
+    cut_up = W.window_rows(df, [key], T.words(F.col("text")), 8)
+    return cut_up.select(key, "start", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
 
 
 @query(f"SELECT source, sum(t)::BIGINT AS n_tokens, greatest(sum(t)::BIGINT - 512, 0) AS positions, greatest(sum(t)::BIGINT - 512, 0) // 16 AS batches FROM (SELECT source, len({PIECES_SQL}) AS t FROM documents) GROUP BY source")

@@ -31,6 +31,22 @@ def test_greedy_selection_is_a_loop_in_order(spark, seed):
     assert {r.doc_id: r.verdict for r in D.greedy_verdicts(df, "doc_id").collect()} == want
 
 
+def test_greedy_selection_of_nulls_and_nothing(spark):
+    """Rows that can't be decided are an error, not a loop without end; no rows give none."""
+    schema = "doc_id bigint, band_id int, band_hash string"
+    assert D.greedy_verdicts(spark.createDataFrame([], schema), "doc_id").count() == 0
+    for row in [(None, 0, "a"), (1, 0, None)]:
+        with pytest.raises(ValueError):
+            D.greedy_verdicts(spark.createDataFrame([row, (2, 0, "b")], schema), "doc_id")
+
+
+def test_window_rows(spark):
+    rows = [(1, list(range(6))), (2, [1, 2, 3]), (3, []), (4, None), (1, [7, 8, 9, 9])]
+    got = W.window_rows(spark.createDataFrame(rows, "k int, t array<int>"), ["k"], F.col("t"), 3).collect()
+    want = [(k, i, t[i : i + 3], t[i + 1 : i + 4]) for k, t in rows for i in range(max(0, len(t or []) - 3))]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_copies_follow_their_first(spark):
     base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
     texts = [base, base + " x", base, base + " x", "other words entirely here and now"]
