@@ -148,3 +148,24 @@ def test_empty_tables(spark):
     assert D.find_leaks(docs.where("false"), bench).count() == 0
     assert D.find_leaks(docs, bench.where("false")).count() == 0
     assert D.without_leaks(docs, bench.where("false")).count() == 1
+
+
+def test_recall_does_not_fall_with_the_vocabulary(spark):
+    """Far more words than buckets: planted items, as they are or with a tenth of their words replaced, are found."""
+    rng = np.random.default_rng(8)
+    share = np.cumsum(1 / np.arange(1, 200_001))
+    draw = lambda n: np.searchsorted(share / share[-1], rng.random(n))
+    named = lambda ids: " ".join(f"w{i:x}q" for i in ids)
+    items, docs, truth = [draw(rng.integers(24, 60)) for _ in range(60)], [], set()
+    for d in range(900):
+        text = draw(rng.integers(50, 300))
+        if d < 120:
+            item, at = items[d % 60].copy(), rng.integers(len(text))
+            other = rng.random(len(item)) < (0.1 if d >= 60 else 0)
+            item[other] = draw(other.sum())
+            text = np.concatenate((text[:at], item, text[at:]))
+            truth.add((d, d % 60))
+        docs.append((d, named(text)))
+    bench = spark.createDataFrame([(i, named(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
+    assert got <= truth and len(truth - got) <= 2
