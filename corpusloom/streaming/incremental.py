@@ -14,9 +14,16 @@ from corpusloom.operators.dedup import near_dedup, word_bands
 from corpusloom.operators.ordering import cut
 
 
-def exact_dedup_stream(stream: DataFrame, text: str) -> DataFrame:
-    """Each text once, by digest; the state is a digest a text."""
-    return stream.withColumn("digest", F.md5(F.col(text).cast("binary"))).dropDuplicates(["digest"]).drop("digest")
+def exact_dedup_stream(stream: DataFrame, text: str, time: str | None = None, within: str | None = None) -> DataFrame:
+    """Each text once, by digest; the state is a digest a text.
+
+    With an event time and an interval a digest is forgotten once the watermark, `within` behind the
+    latest time, has passed it by `within`: the state is bounded, and copies farther apart may both stay.
+    """
+    marked = stream.withColumn("digest", F.md5(F.col(text).cast("binary")))
+    if time is None:
+        return marked.dropDuplicates(["digest"]).drop("digest")
+    return marked.withWatermark(time, within).dropDuplicatesWithinWatermark(["digest"]).drop("digest")
 
 
 def paragraph_stream(lines: DataFrame, source: str, value: str, order: str | None = None) -> DataFrame:

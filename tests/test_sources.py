@@ -89,6 +89,26 @@ def test_streams(spark, tmp_path):
     assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "index/rows")).collect()) == [1, 3, 5]
 
 
+def test_exact_dedup_within_an_interval(spark, tmp_path):
+    """Copies within the interval go; digests that the watermark has passed leave the state."""
+    src, schema = tmp_path / "times", "text string, at timestamp"
+
+    def put(*rows):
+        spark.createDataFrame(list(rows), "text string, at string").selectExpr("text", "CAST(at AS timestamp) AS at").coalesce(1).write.mode("append").parquet(str(src))
+
+    def run():
+        seen = exact_dedup_stream(spark.readStream.schema(schema).parquet(str(src)), "text", "at", "1 hour")
+        q = seen.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c5")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    put(("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:10:00"), ("b", "2024-01-01 00:20:00"))
+    assert run() == 2
+    put(("a", "2024-01-01 00:30:00"), ("c", "2024-01-02 00:00:00"))
+    assert run() == 1  # c; the others are forgotten
+    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
 def test_paragraph_stream(spark, tmp_path):
     src = tmp_path / "lines"
     src.mkdir()
