@@ -24,15 +24,20 @@ def decode_references(c: Column) -> Column:
     return c
 
 
+#: HTML's white space, and what ends a tag's name. Patterns of tags are the same in RE2: its (?i) folds Unicode letters, its \s and \b are of ASCII.
+GAP = r"[\t\n\f\r ]"
+NAME_END = r"(?![0-9A-Za-z_])"
+
+
 def without_elements(html: Column, tags: tuple[str, ...] = DROPPED) -> Column:
     html = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for tag in tags:
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+        html = F.regexp_replace(html, rf"(?ius)<{tag}{NAME_END}[^>]*>.*?</{tag}{GAP}*>", "")
     return html
 
 
 def plain(html: Column) -> Column:
-    return strip(decode_references(F.regexp_replace(html, r"<[^>]*>", "")))
+    return F.regexp_replace(decode_references(F.regexp_replace(html, r"<[^>]*>", "")), rf"^{GAP}+|{GAP}+\z", "")
 
 
 def outer_boxes(html: Column) -> Column:
@@ -70,16 +75,27 @@ def outer_boxes(html: Column) -> Column:
     return let(F.split(marked, "\x01"), find)
 
 
+def _paragraphs(clean: Column, least: int) -> Column:
+    """Paragraphs of over `least` characters in the article; one ends at its closing tag or where the next one begins."""
+    article = F.regexp_extract(clean, rf"(?ius)<article{NAME_END}[^>]*>(.*?)</article{GAP}*>", 1)
+    found = F.regexp_extract_all(article, F.lit(rf"(?ius)<p{NAME_END}[^>]*>(.*?)(?=<p{NAME_END}[^>]*>|</p{GAP}*>|\z)"), F.lit(1))
+    return F.filter(F.transform(found, plain), lambda p: F.length(p) > least)
+
+
+def article_text(html: Column, least: int = 20) -> Column:
+    """Paragraphs of over `least` characters in the article, a line each; null if there are none."""
+    return let(_paragraphs(without_elements(html), least), lambda p: F.when(F.size(p) > 0, F.array_join(p, "\n")))
+
+
 def fallback_text(html: Column, least: int = 20, container: int = 100) -> Column:
-    """Paragraphs of over `least` characters in the article, or else the longest div or section of at least `container`; null if neither.
+    """As article_text(), or else the longest div or section of at least `container`; null if neither.
 
     A box within another is never longer than that one, so only outer boxes are looked at.
     """
     clean = without_elements(html)
 
     def pick(h: Column) -> Column:
-        article = F.regexp_extract(h, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
-        paragraphs = F.filter(F.transform(F.regexp_extract_all(article, F.lit(r"(?is)<p\b[^>]*>(.*?)(?=<p\b|</p\s*>|$)"), F.lit(1)), plain), lambda p: F.length(p) > least)
+        paragraphs = _paragraphs(h, least)
         boxes = F.filter(F.transform(outer_boxes(h), plain), lambda p: F.length(p) >= container)
         longest = F.element_at(F.sort_array(F.transform(boxes, lambda b: F.struct(F.length(b).alias("n"), b.alias("b")))), -1)["b"]
         return F.when(F.size(paragraphs) > 0, F.array_join(paragraphs, "\n")).when(F.size(boxes) > 0, longest)
