@@ -1,8 +1,7 @@
 """Byte-pair vocabularies: training on distinct pieces, encoding, decoding and packing.
 
-Merges are learned on the driver over the most frequent distinct pieces; what the rest of them add
-to the counts of pairs is summed on executors, a scan of those with the pair a merge. Every
-different piece is encoded once.
+Merges are learned over all distinct pieces, few on the driver, many on executors. Every different
+piece is encoded once.
 """
 
 from __future__ import annotations
@@ -17,12 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import nfc
+from corpusloom.operators.merging import learn_on_executors
 from corpusloom.operators.ordering import cut
 from corpusloom.operators.stats import pieces
 
 #: Special tokens, first in the vocabulary.
 SPECIALS = ("<pad>", "<unk>", "<bos>", "<eos>")
-MAX_PIECES = 2_000_000  # the most frequent distinct pieces that are held on the driver
+MAX_PIECES = 20_000  # distinct pieces that are merged on the driver; more are where they are (merging.py)
 
 
 @dataclass
@@ -52,17 +52,21 @@ def train_bpe(df: DataFrame, text: Column, vocab_size: int, min_frequency: int =
     """Learn a vocabulary from all texts: specials, letters by code point, then merges by frequency.
 
     The most frequent pair is merged while it has min_frequency; of equals the one of least ids.
-    All pieces count: the max_pieces most frequent ones on the driver, the others on executors.
+    All pieces count: up to max_pieces of them are merged on the driver, more on executors.
     """
     counts = cut(piece_counts(df, text))
-    alphabet = [r["c"] for r in counts.select(F.explode(F.split("piece", "")).alias("c")).where("c <> ''").distinct().collect()]
-    rows = counts.orderBy(F.desc("n"), "piece").limit(max_pieces).collect()
-    tail = None
-    if len(rows) == max_pieces and rows:
-        n, piece = rows[-1]["n"], rows[-1]["piece"]
-        rest = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("piece") > piece)))
-        tail = Tail(rest) if rest.take(1) else None
-    return learn_merges({r["piece"]: r["n"] for r in rows}, sorted(alphabet), vocab_size, min_frequency, tail)
+    alphabet = sorted(r["c"] for r in counts.select(F.explode(F.split("piece", "")).alias("c")).where("c <> ''").distinct().collect())
+    n_pieces = counts.count()
+    if n_pieces <= max_pieces:
+        return learn_merges({r["piece"]: r["n"] for r in counts.collect()}, alphabet, vocab_size, min_frequency)
+    names = [*SPECIALS, *alphabet]
+    vocab, merges = {t: i for i, t in enumerate(names)}, []
+    for pair in learn_on_executors(counts, n_pieces, names, len(SPECIALS), vocab_size, min_frequency):
+        left, right = (names[i] for i in pair)
+        merges.append((left, right))
+        if vocab.setdefault(left + right, len(vocab)) == len(names):
+            names.append(left + right)
+    return Bpe(vocab, merges)
 
 
 def _merged(parts: list[str], pair: tuple[str, str]) -> list[str]:
@@ -77,56 +81,7 @@ def _merged(parts: list[str], pair: tuple[str, str]) -> list[str]:
     return out
 
 
-def _replayed(piece: str, ranks: dict[tuple[str, str], list[int]]) -> list[str]:
-    """A piece's parts after all merges, each done once and in order."""
-    parts, last = list(piece), -1
-    while len(parts) > 1:
-        later = [(rank, p) for p in set(zip(parts, parts[1:], strict=False)) for rank in ranks.get(p, ()) if rank > last]
-        if not later:
-            break
-        last, pair = min(later)
-        parts = _merged(parts, pair)
-    return parts
-
-
-class Tail:
-    """Pieces (piece, n) that stay on executors: their pairs' counts, and how each merge changes them."""
-
-    def __init__(self, pieces: DataFrame):
-        self.pieces, self.ranks, self.merges = pieces, defaultdict(list), 0
-
-    def _sums(self, pieces: DataFrame, pair: tuple[str, str] | None) -> dict[tuple[str, str], int]:
-        ranks = dict(self.ranks)
-
-        def changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                sums = Counter()
-                for piece, n in zip(batch["piece"], batch["n"], strict=True):
-                    before = _replayed(piece, ranks)
-                    after = _merged(before, pair) if pair else before
-                    if pair and len(after) == len(before):
-                        continue
-                    for p in zip(after, after[1:], strict=False):
-                        sums[p] += n
-                    for p in zip(before, before[1:], strict=False) if pair else ():
-                        sums[p] -= n
-                rows = [(a, b, int(n)) for (a, b), n in sums.items() if n]
-                yield pd.DataFrame(rows, columns=["a", "b", "n"])
-
-        found = pieces.select("piece", "n").mapInPandas(changes, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
-        return {(r["a"], r["b"]): r["n"] for r in found.collect()}
-
-    def pairs(self) -> dict[tuple[str, str], int]:
-        return self._sums(self.pieces, None)
-
-    def merge(self, pair: tuple[str, str]) -> dict[tuple[str, str], int]:
-        out = self._sums(self.pieces.where(F.col("piece").contains(pair[0] + pair[1])), pair)
-        self.ranks[pair].append(self.merges)
-        self.merges += 1
-        return out
-
-
-def learn_merges(counts: dict[str, int], alphabet: list[str], vocab_size: int, min_frequency: int = 2, tail: Tail | None = None) -> Bpe:
+def learn_merges(counts: dict[str, int], alphabet: list[str], vocab_size: int, min_frequency: int = 2) -> Bpe:
     vocab = {t: i for i, t in enumerate([*SPECIALS, *alphabet])}
     split = {p: list(p) for p in counts}
     pairs, where = Counter(), defaultdict(set)
@@ -134,8 +89,6 @@ def learn_merges(counts: dict[str, int], alphabet: list[str], vocab_size: int, m
         for pair in zip(parts, parts[1:], strict=False):
             pairs[pair] += counts[piece]
             where[pair].add(piece)
-    if tail:
-        pairs.update(tail.pairs())
     entry = lambda pair: (-pairs[pair], vocab[pair[0]], vocab[pair[1]], pair)
     heap, merges = [entry(p) for p in pairs], []
     heapq.heapify(heap)
@@ -150,9 +103,6 @@ def learn_merges(counts: dict[str, int], alphabet: list[str], vocab_size: int, m
         merges.append(pair)
         vocab.setdefault(pair[0] + pair[1], len(vocab))
         changed = set()
-        for p, n_tail in (tail.merge(pair) if tail else {}).items():
-            pairs[p] += n_tail
-            changed.add(p)
         for piece in list(where[pair]):
             parts, n_piece = split[piece], counts[piece]
             for old in zip(parts, parts[1:], strict=False):

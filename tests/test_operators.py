@@ -228,3 +228,19 @@ def test_main_text_is_that_of_its_sql(spark, tmp_path):
         if name == "html_extractor_chain":  # what is visible is not the matter here
             got, want = ([(k, t) for k, t in rows if k == 0] for rows in (got, want))
         assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_many_pieces_are_merged_on_executors(spark, monkeypatch):
+    """Beyond max_pieces the driver merges none; tasks, some without a piece, agree on what it would have learned."""
+    rng, learn = random.Random(4), B.learn_merges
+    texts = [" ".join("".join(rng.choice("abcé\U00010348") for _ in range(rng.choice((1, 2, 3, 6, 15)))) for _ in range(k)) for k in (40, 0, 3, 80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = B.train_bpe(df, F.col("text"), 60)
+    counts = {r.piece: r.n for r in B.piece_counts(df, F.col("text")).collect()}
+    assert learn(counts, sorted(set("".join(counts))), 60).merges == want.merges and len(want.merges) > 40
+    monkeypatch.setattr(B, "learn_merges", None)
+    monkeypatch.setattr("corpusloom.operators.merging.SHARE", 1)
+    got = B.train_bpe(df, F.col("text"), 60, max_pieces=1)
+    assert got.merges == want.merges and got.vocab == want.vocab
+    few = B.train_bpe(spark.createDataFrame([(1, "aaaaa bb")], "id int, text string"), F.col("text"), 30, 1, max_pieces=0)
+    assert few.merges == learn({"aaaaa": 1, "bb": 1}, ["a", "b"], 30, 1).merges
