@@ -1,7 +1,7 @@
 """Byte-pair vocabularies: training on distinct pieces, encoding, decoding and packing.
 
-Merges are learned over all distinct pieces, few on the driver, many on executors. Every different
-piece is encoded once.
+Merges are learned over all distinct pieces, few on the driver, many on executors. Texts are encoded
+where they are.
 """
 
 from __future__ import annotations
@@ -10,10 +10,13 @@ import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from corpusloom.functions.text import nfc
 from corpusloom.operators.merging import learn_on_executors
@@ -23,6 +26,8 @@ from corpusloom.operators.stats import pieces
 #: Special tokens, first in the vocabulary.
 SPECIALS = ("<pad>", "<unk>", "<bos>", "<eos>")
 MAX_PIECES = 20_000  # distinct pieces that are merged on the driver; more are where they are (merging.py)
+KNOWN = 200_000  # pieces whose ids a task keeps
+ROWS = 500  # texts encoded at once
 
 
 @dataclass
@@ -36,11 +41,15 @@ class Bpe:
         if ranks is None:
             ranks = self._ranks = {m: r for r, m in enumerate(self.merges)}
         parts = [c if c in self.vocab else "<unk>" for c in piece]
-        while len(parts) > 1:
-            rank, at = min((ranks.get(p, len(ranks)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == len(ranks):
-                break
+        none, here = len(ranks), [ranks.get(p, len(ranks)) for p in zip(parts, parts[1:], strict=False)]
+        while here and (rank := min(here)) < none:
+            at = here.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del here[at]
+            if at:
+                here[at - 1] = ranks.get((parts[at - 1], parts[at]), none)
+            if at < len(here):
+                here[at] = ranks.get((parts[at], parts[at + 1]), none)
         return parts
 
 
@@ -120,26 +129,38 @@ def learn_merges(counts: dict[str, int], alphabet: list[str], vocab_size: int, m
     return Bpe(vocab, merges)
 
 
-def encode_pieces(distinct: DataFrame, bpe: Bpe) -> DataFrame:
-    """(piece, tokens, ids) of distinct pieces."""
-    shared = distinct.sparkSession.sparkContext.broadcast(bpe)
+def _id_lists(lists: pa.ListArray, model: Bpe, known: dict[str, list[int]]) -> pa.ListArray:
+    """The token ids of each text, of its pieces in order; `known` has pieces' ids, those of the latest texts at least."""
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    if len(known) > KNOWN:
+        known.clear()
+    for piece in distinct:
+        if piece not in known:
+            known[piece] = [model.vocab[t] for t in model.encode_piece(piece)]
+    ids = [known[piece] for piece in distinct]
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat, at = np.fromiter(chain.from_iterable(ids), np.int32, size.sum()), coded.indices.to_numpy()
+    n, first = size[at], (np.cumsum(size) - size)[at]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    pieces_of = lists.value_lengths().fill_null(0).to_numpy()
+    offsets = ends[np.concatenate(([0], np.cumsum(pieces_of)))]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for batch in batches:
-            tokens = [model.encode_piece(p) for p in batch["piece"]]
-            yield pd.DataFrame({"piece": batch["piece"], "tokens": tokens, "ids": [[model.vocab[t] for t in ts] for ts in tokens]})
 
-    return distinct.select("piece").mapInPandas(encode, "piece string, tokens array<string>, ids array<int>")
+def encode(df: DataFrame, key: str, text: Column, bpe: Bpe) -> DataFrame:
+    """(key, ids): token ids of each text in order, a row a row; nothing is shuffled, each task encodes a piece once or seldom more."""
+    shared = df.sparkSession.sparkContext.broadcast(bpe)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(part.column(1), shared.value, known)], [key, "ids"])
 
-def encode(df: DataFrame, key: str, text: Column, bpe: Bpe) -> DataFrame:
-    """(key, ids): token ids of each text in order; each different piece is encoded once and joined back."""
-    placed = df.select(key, F.posexplode(pieces(nfc(text))).alias("pos", "piece"))
-    coded = encode_pieces(placed.select("piece").distinct(), bpe)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "ids")))
-    found = placed.join(coded, "piece").groupBy(key).agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
-    return df.select(key).join(found, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    split = df.select(key, pieces(nfc(text)).alias("pieces"))
+    return split.mapInArrow(run, StructType([StructField(key, split.schema[key].dataType), StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode(coded: DataFrame, key: str, vocab: DataFrame, specials: int = len(SPECIALS)) -> DataFrame:

@@ -244,3 +244,16 @@ def test_many_pieces_are_merged_on_executors(spark, monkeypatch):
     assert got.merges == want.merges and got.vocab == want.vocab
     few = B.train_bpe(spark.createDataFrame([(1, "aaaaa bb")], "id int, text string"), F.col("text"), 30, 1, max_pieces=0)
     assert few.merges == learn({"aaaaa": 1, "bb": 1}, ["a", "b"], 30, 1).merges
+
+
+def test_texts_are_encoded_a_row_each_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(B, "KNOWN", 3)
+    monkeypatch.setattr(B, "ROWS", 2)
+    texts = ["low lower, lowest!", None, "", "low zz é low", "new newer\nlow", "low lower, lowest!"]
+    df = spark.createDataFrame([(7 if i in (0, 5) else i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+    bpe = B.train_bpe(df.where("id <> 3"), F.col("text"), 30)
+    coded = B.encode(df, "id", F.col("text"), bpe)
+    assert "Exchange" not in coded._jdf.queryExecution().executedPlan().toString()
+    words = [r[0] or [] for r in df.select(B.pieces(F.col("text"))).collect()]
+    want = [(r.id, [bpe.vocab[t] for w in ws for t in bpe.encode_piece(w)]) for r, ws in zip(df.collect(), words)]
+    assert [(r.id, r.ids) for r in coded.collect()] == want and bpe.vocab["<unk>"] in want[3][1]
