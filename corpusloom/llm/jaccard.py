@@ -1,28 +1,34 @@
-"""Groups of documents that share most word shingles: parity fingerprints, pigeonring filtering, exact Jaccard similarities.
-
-64 SimHash bits can't tell these pairs: at a five-word similarity of 0.8 they differ in up to 17 bits,
-at 0.7 in hardly more. So a text's fingerprint here has 1024 bits, each the parity of the number of
-its shingles that hash there. Two fingerprints differ in at most as many bits as shingles are in one
-text only, and at a similarity s these are at most (1 - s) / (1 + s) of both texts' shingles: a
-budget that depends on the texts' sizes, and that no pair over s exceeds. The pigeonring principle
-holds as for SimHash: on the ring of 16 segments there is a start from which every chain of l
-segments differs in at most l / 16 of the budget. Chains prune candidates, then the full Hamming
-distance does, then the exact similarity decides.
-
-Candidates share one of BANDS bands of ROWS MinHash values; two sets of similarity s share none with
-a chance of (1 - s**ROWS)**BANDS, 5e-8 at 0.8. No candidate is dropped but by an exact bound.
-
-Cost at scale: texts are read twice and never shuffled; what moves is a row a document and band and,
-of documents that share a band with another, their shingles' hashes, once. Each set is first held
-against one hub, the most popular member of its buckets. After that only pairs of a bucket's members
-in different groups are looked at: those outside the bucket's largest group against the others, in
-slots of bounded size; of these each set is verified against its nearest in each other group first,
-and against the rest only if the groups are still apart.
+"""Groups of documents that share most word shingles: SimHash candidates, pigeonring filtering, exact Jaccard similarities.
+
+64 SimHash bits can't be a join key for these pairs: at a five-word similarity of 0.8 they differ in
+up to 17 bits. So SimHash's sums are taken in 1024 dimensions, by feature hashing and many random
+rotations, and a text's keys are its strongest bits: of each GROUP of sums the place and sign of the
+largest. Two texts of similarity 0.8 have a key (two groups) in common with a chance of 0.142, so
+they share none of BANDS keys with a chance of 5e-8. Within a bucket, texts stay that differ from
+another one of it in at most radius() of PRINT SimHash bits.
+
+What is left is pruned by exact bounds. A text's second fingerprint has 1024 bits, each the parity of
+the number of its shingles that hash there. Two of these differ in at most as many bits as shingles
+are in one text only, and at a similarity s these are at most (1 - s) / (1 + s) of both texts'
+shingles: a budget that depends on the texts' sizes, and that no pair over s exceeds. The pigeonring
+principle holds as for SimHash: on the ring of 16 segments there is a start from which every chain
+of l segments differs in at most l / 16 of the budget. Chains prune candidates, then the full
+Hamming distance does, then the exact similarity decides.
+
+Cost at scale: texts are read twice and never shuffled; what moves is 28 bytes a document and key,
+packed by part, a row a document and key that it shares with a text near by, and, of documents that
+have any, their shingles' hashes, once. Each set is first held against one hub, the most popular
+member of its buckets. After that only pairs of a bucket's members in different groups are looked
+at: those outside the bucket's largest group against the others, in slots of bounded size; of these
+each set is verified against its nearest in each other group first, and against the rest only if the
+groups are still apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +41,20 @@ from .components import connected_components
 from .simhash import LOWER
 from .wordhash import mix
 
-BANDS, ROWS = 32, 4
+SIDE = 32  # a text's SimHash sums have SIDE * SIDE dimensions
+GROUP = 256  # sums that the strongest is taken of; two of these are a key
+BANDS = 110  # keys a text
+PRINT = 128  # SimHash bits that are compared within a bucket
 SEGMENTS = 16  # of 64 bits, that a fingerprint has
 SMALL = 100_000  # sets whose ids may be broadcast
-PIECE = 1 << 13  # shingles permuted at once
+TEXTS = 256  # worked on at once
+PACKED = 1 << 20  # keys that a task packs at once, and that a part has in expectation
+BUCKET = 1024  # sets up to which a bucket's are compared with each other for near ones; of more all stay
 SLOT = 2048  # members of a bucket that are held against the same others in one task, in expectation
 
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+DIM = SIDE * SIDE
+GROUP_BITS = GROUP.bit_length()  # a place in it and a sign
+KEY = np.dtype([("key", "<u4"), ("set", "<i8"), ("low", "<u8"), ("high", "<u8")])
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -55,17 +68,49 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(mix(out + np.uint64(size)))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A hash of each band's least permuted values."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), PIECE):
-        # Products with odd numbers permute; their high bits are mixed by a shift first.
-        part = shingles[at : at + PIECE, None] * _SEEDS
-        least = np.minimum(least, ((part ^ (part >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)).min(axis=0))
-    out = np.zeros(BANDS, np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
-    return out.view(np.int64)
+@cache
+def _rotations() -> tuple[np.ndarray, np.ndarray]:
+    """Random signs of each rotation, the last two the first one's of all and the fingerprint's, and the Hadamard matrix of SIDE."""
+    hadamard = np.ones((1, 1), np.float32)
+    while len(hadamard) < SIDE:
+        hadamard = np.block([[hadamard, hadamard], [hadamard, -hadamard]])
+    rounds = ceil(2 * BANDS * GROUP / DIM)
+    return np.random.default_rng(20240602).choice(np.array([-1, 1], np.float32), (rounds + 2, DIM)), hadamard
+
+
+def _rotate(sums: np.ndarray, signs: np.ndarray, hadamard: np.ndarray) -> np.ndarray:
+    half = ((sums * signs).reshape(-1, SIDE) @ hadamard).reshape(-1, SIDE, SIDE)
+    return (np.ascontiguousarray(half.swapaxes(1, 2)).reshape(-1, SIDE) @ hadamard).reshape(-1, DIM)
+
+
+def simhash_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set of shingles its BANDS keys, from its strongest SimHash bits, and PRINT SimHash bits in words of 64."""
+    signs, hadamard = _rotations()
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    hashes = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    place = (hashes >> np.uint64(40)).astype(np.int64) & (DIM - 1)
+    sums = np.bincount(row * DIM + place, 1.0 - 2.0 * (hashes >> np.uint64(63)), len(sets) * DIM)
+    # Without this rotation before each of the others, sums of few shingles have ties that depend on each other.
+    sums = _rotate(sums.astype(np.float32).reshape(-1, DIM), signs[-2], hadamard) / np.float32(SIDE)
+    bits = []
+    for k in range(len(signs) - 2):
+        turned = _rotate(sums, signs[k], hadamard).reshape(-1, GROUP)
+        strongest = np.abs(turned).argmax(axis=1)
+        plus = turned[np.arange(len(turned)), strongest] > 0
+        bits.append((strongest << 1 | plus).reshape(len(sets), -1))
+    bits = np.concatenate(bits, axis=1)[:, : 2 * BANDS].astype(np.uint32)
+    band = np.arange(BANDS, dtype=np.uint32) << np.uint32(2 * GROUP_BITS)
+    keys = band | bits[:, ::2] << np.uint32(GROUP_BITS) | bits[:, 1::2]
+    return keys, np.packbits(_rotate(sums, signs[-1], hadamard)[:, :PRINT] > 0, axis=1).view(np.uint64)
+
+
+def radius(similarity: float) -> int:
+    """How many of PRINT SimHash bits two sets of that similarity may differ in.
+
+    By the angle between them, and six standard deviations.
+    """
+    share = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+    return ceil(PRINT * share + 6 * sqrt(PRINT * share * (1 - share)))
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -78,14 +123,80 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
-def _key_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    lists = pa.list_(pa.int64())
+def _key_batches(batches: Iterator[pa.RecordBatch], shingle: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Sets of fewer shingles than `least` have no keys: none but their equals are similar to them."""
+    names = ["row", "set", "n", "keys", "bits", "print"]
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(at, TEXTS)
+            sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
+            keys, bits = simhash_keys(sets)
+            columns = [
+                pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([k.tobytes() if len(s) >= least else b"" for s, k in zip(sets, keys, strict=True)], pa.binary()),
+                pa.array([b.tobytes() for b in bits], pa.binary()),
+                pa.array([parities(s) for s in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
+
+
+def _packed_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """(set, keys, bits) of sets -> (part, entries): their keys by the part that each belongs to."""
+
+    def packed(rows: list[np.ndarray]) -> pa.RecordBatch:
+        entries = np.concatenate(rows)
+        part = (mix(entries["key"].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        entries, part = entries[order], part[order]
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        blobs = [x.tobytes() for x in np.split(entries, first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(blobs, pa.binary())], ["part", "entries"])
+
+    rows, n = [], 0
     for batch in batches:
-        sets = (shingle_set(t, shingle) for t in batch.column(1).to_pylist())
-        rows = [(set_id(s), len(s), band_keys(s) if len(s) else [], parities(s)) for s in sets]
-        ids, sizes, keys, prints = zip(*rows, strict=True) if rows else ([], [], [], [])
-        columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, lists), pa.array(prints, lists)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", "set", "n", "keys", "print"])
+        for ident, keys, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            entries = np.empty(len(keys) // 4, KEY)
+            entries["key"], entries["set"] = np.frombuffer(keys, "<u4"), ident
+            entries["low"], entries["high"] = np.frombuffer(bits, np.uint64)
+            rows.append(entries)
+            n += len(entries)
+            if n >= PACKED:
+                yield packed(rows)
+                rows, n = [], 0
+    if n:
+        yield packed(rows)
+
+
+def near_entries(entries: np.ndarray, most: int, limit: int = BUCKET) -> np.ndarray:
+    """Of entries in order of key those that differ from another one of their key in at most `most` bits, and all of keys with more than `limit`."""
+    keys = entries["key"]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(keys)))
+    near, size = np.repeat(sizes > limit, sizes), np.repeat(sizes, sizes)
+    end = np.repeat(first + sizes, sizes)
+    at = np.flatnonzero((size > 1) & (size <= limit))
+    for ahead in range(1, limit):
+        at = at[at + ahead < end[at]]
+        if not len(at):
+            break
+        other = at + ahead
+        distance = sum(np.bitwise_count(entries[c][at] ^ entries[c][other]).astype(np.int16) for c in ("low", "high"))
+        close = distance <= most
+        near[at[close]] = near[other[close]] = True
+    return entries[near]
+
+
+def _bucket_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The entries of a part that are near another one -> (key, set, m), m being how many of the key these are."""
+    blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
+    entries = np.frombuffer(b"".join(blobs), KEY)
+    del blobs
+    entries = near_entries(entries[np.argsort(entries["key"], kind="stable")], most)
+    _, which, m = np.unique(entries["key"], return_inverse=True, return_counts=True)
+    columns = [pa.array(entries["key"].astype(np.int64)), pa.array(np.ascontiguousarray(entries["set"])), pa.array(m[which].astype(np.int64))]
+    whole = pa.RecordBatch.from_arrays(columns, ["key", "set", "m"])
+    for at in range(0, whole.num_rows, 1 << 16):
+        yield whole.slice(at, 1 << 16)
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -133,22 +244,23 @@ def _distance(a: str, b: str) -> Column:
     return sum(bits[1:], bits[0])
 
 
-def _bands(classes: DataFrame) -> DataFrame:
-    """(set, band, key, m, popular, hub) of every bucket of m > 1 sets; popular sums m over a set's buckets."""
-    rows = classes.select("set", F.posexplode("keys").alias("band", "key"))
-    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    rows = cut(rows.join(sizes, ["band", "key"]))
+def _buckets(classes: DataFrame, similarity: float) -> DataFrame:
+    """(key, set, m, popular, hub) of every bucket of m > 1 sets near each other; popular sums m over a set's buckets."""
+    parts, most = max(32, ceil(classes.count() * BANDS / PACKED)), radius(similarity)
+    packed = classes.select("set", "keys", "bits").mapInArrow(lambda batches: _packed_batches(batches, parts), "part int, entries binary")
+    rows = packed.repartition(parts, "part").mapInArrow(lambda batches: _bucket_batches(batches, most), "key bigint, set bigint, m bigint")
+    rows = cut(rows)
     popular = rows.groupBy("set").agg(F.sum("m").alias("popular"))
     rows = rows.join(popular, "set")
-    hubs = rows.groupBy("band", "key").agg(F.max_by("set", F.struct("popular", "set")).alias("hub"), F.max("popular").alias("hub_popular"))
-    return cut(rows.join(hubs, ["band", "key"]))
+    hubs = rows.groupBy("key").agg(F.max_by("set", F.struct("popular", "set")).alias("hub"), F.max("popular").alias("hub_popular"))
+    return cut(rows.join(hubs, "key"))
 
 
 def _open_pairs(rows: DataFrame, prints: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """(a, b, root_a, root_b, distance) of members of a bucket that are in different groups and can be similar."""
-    rooted = rows.select("band", "key", "m", "set").join(roots, rows["set"] == roots["node"], "left")
-    rooted = cut(rooted.select("band", "key", "m", "set", F.coalesce("root", "set").alias("root")))
-    bucket = ["band", "key"]
+    rooted = rows.select("key", "m", "set").join(roots, rows["set"] == roots["node"], "left")
+    rooted = cut(rooted.select("key", "m", "set", F.coalesce("root", "set").alias("root")))
+    bucket = ["key"]
     split = rooted.groupBy(*bucket).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*bucket)
     rooted = rooted.join(split, bucket)
     counts = rooted.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("size"))
@@ -183,10 +295,11 @@ def group_rows(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     """(row, text) -> (row, least): the least `row`, an orderable value, of its group, as in near_copy_groups()."""
     ship_code(texts.sparkSession)
     kind = texts.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, set bigint, n bigint, keys array<bigint>, print array<bigint>"
-    keyed = cut(texts.select("row", F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: _key_batches(batches, shingle), schema))
-    classes = cut(keyed.groupBy("set").agg(F.min("row").alias("first_row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("print").alias("print")))
-    rows = _bands(classes)
+    schema = f"row {kind}, set bigint, n bigint, keys binary, bits binary, print array<bigint>"
+    least = ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1 << 62
+    keyed = cut(texts.select("row", F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: _key_batches(batches, shingle, least), schema))
+    classes = cut(keyed.groupBy("set").agg(F.min("row").alias("first_row"), *[F.first(c).alias(c) for c in ("n", "keys", "bits", "print")]))
+    rows = _buckets(classes, similarity)
     shared = cut(rows.select("set").distinct())
     few = F.broadcast(shared) if shared.count() <= SMALL else shared
     sets = texts.select("text").mapInArrow(lambda batches: _set_batches(batches, shingle), "set bigint, shingles array<bigint>")

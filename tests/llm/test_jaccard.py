@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -47,3 +48,32 @@ def test_no_documents_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (3, "a b"), (None, "c d")], "doc_id bigint, text string")
     assert sorted(str(r.doc_id) for r in J.keep_one_of_each_group(docs).collect()) == ["3", "None"]
     assert J.keep_one_of_each_group(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n", [4, 8, 40, 400])
+def test_sets_of_the_similarity_share_a_simhash_key(n):
+    """Pairs at 0.8, in sets of few and of many shingles, have equal keys, and SimHash bits within the radius."""
+    rng = np.random.default_rng(n)
+    only = n // 4
+    rows = rng.integers(0, 1 << 63, (400, n + only), dtype=np.uint64) << np.uint64(1)
+    rows |= rng.integers(0, 2, rows.shape, dtype=np.uint64)
+    a, b = [np.unique(r[: n + only // 2]) for r in rows], [np.unique(np.delete(r, slice(n, n + only // 2))) for r in rows]
+    (keys_a, bits_a), (keys_b, bits_b) = J.simhash_keys(a), J.simhash_keys(b)
+    assert (keys_a == keys_b).any(axis=1).all() and (keys_a == keys_b).mean() > 0.12
+    assert np.bitwise_count(bits_a ^ bits_b).sum(axis=1).max() <= J.radius(0.8)
+    assert (keys_a[1:] == keys_a[:-1]).mean() < 0.001
+
+
+@pytest.mark.parametrize("limit", [8, 1000])
+def test_entries_near_another_of_their_key(limit):
+    rng = np.random.default_rng(3)
+    entries = np.zeros(600, J.KEY)
+    entries["key"] = np.sort(np.repeat(np.arange(120), rng.multinomial(600, np.r_[0.1, np.full(119, 0.9 / 119)])))
+    entries["set"], entries["low"], entries["high"] = np.arange(600), rng.integers(0, 1 << 63, 600), rng.integers(0, 1 << 63, 600)
+    prints = [int(e["low"]) | int(e["high"]) << 64 for e in entries]
+    want = set()
+    for i, j in combinations(range(600), 2):
+        if entries["key"][i] == entries["key"][j] and ((prints[i] ^ prints[j]).bit_count() <= 58 or (entries["key"] == entries["key"][i]).sum() > limit):
+            want |= {i, j}
+    assert set(J.near_entries(entries, 58, limit)["set"].tolist()) == want and 0 < len(want) < 600
+    assert len(J.near_entries(entries[:0], 58)) == 0
