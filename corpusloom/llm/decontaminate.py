@@ -136,6 +136,30 @@ def _sum_rows(table: np.ndarray, rows: np.ndarray, sizes: np.ndarray, most: int)
     return out
 
 
+def _sum_groups(table: np.ndarray, rows: np.ndarray, sizes: np.ndarray, block: int = 8) -> np.ndarray:
+    """Sums of a table's rows over groups of `sizes` consecutive entries, one at least and of any number.
+
+    Whole blocks of a group's entries are gathered and summed first, then what groups have beyond them.
+    """
+    begins, rest = np.cumsum(sizes) - sizes, sizes % block
+    out = np.zeros((len(sizes), table.shape[1]), table.dtype)
+    several, single = np.flatnonzero(sizes >= block), np.flatnonzero(rest)
+    if len(several):
+        counts = sizes[several] // block
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        first = np.repeat(begins[several], counts) + inside * block
+        sums = np.empty((len(first), table.shape[1]), table.dtype)
+        for at in range(0, len(first), 256):
+            sums[at : at + 256] = table[rows[first[at : at + 256, None] + np.arange(block)]].sum(axis=1)
+        out[several] = np.add.reduceat(sums, np.cumsum(counts) - counts, axis=0)
+    for k in range(1, block):
+        groups = single[rest[single] == k]
+        for at in range(0, len(groups), 256):
+            part = groups[at : at + 256]
+            out[part] += table[rows[(begins + sizes - k)[part, None] + np.arange(k)]].sum(axis=1)
+    return out
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
     omega, sketch = _with_zero(_test_matrix() * idf[:, None]), np.zeros((BUCKETS, WIDTH))
     for part in _parts(batches):
@@ -149,9 +173,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Itera
         order = np.argsort(bucket.astype(np.int16), kind="stable")
         bucket, passage = bucket[order], passage[order]
         starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        # Sums run along rows: a dimension's values for all passages stay in the cache.
-        across = np.ascontiguousarray(projected.T, np.float32)
-        sums = np.stack([np.add.reduceat(row[passage], starts) for row in across], axis=1)
+        sums = _sum_groups(projected.astype(np.float32), passage, np.diff(np.append(starts, len(bucket))))
         sketch[bucket[starts]] += sums * idf[bucket[starts], None]
     whole = np.rint(sketch * SCALE).astype(np.int64)
     kept = np.flatnonzero(whole.any(axis=1))

@@ -169,3 +169,13 @@ def test_recall_does_not_fall_with_the_vocabulary(spark):
     bench = spark.createDataFrame([(i, named(t)) for i, t in enumerate(items)], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in D.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
     assert got <= truth and len(truth - got) <= 2
+
+
+def test_sums_of_groups_of_any_size():
+    rng = np.random.default_rng(2)
+    table, sizes = rng.integers(-50, 50, (90, 5)).astype(np.float32), np.array([1, 7, 8, 9, 16, 2500, 1, 31, 3])
+    rows = rng.integers(0, 90, sizes.sum())
+    for s in (sizes, sizes[:2], np.array([8, 2568])):
+        want = [table[part].sum(axis=0) for part in np.split(rows[: s.sum()], np.cumsum(s)[:-1])]
+        assert (D._sum_groups(table, rows[: s.sum()], s) == np.array(want)).all()
+    assert D._sum_groups(table, rows[:0], sizes[:0]).shape == (0, 5)
