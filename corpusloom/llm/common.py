@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ordering import cut, in_order
 
-__all__ = ["cut", "in_order", "least_row", "row_key", "ship_code", "signed", "table", "with_keys"]
+__all__ = ["cut", "cut_small", "in_order", "least_row", "row_key", "ship_code", "signed", "table", "with_keys"]
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -31,6 +32,20 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def cut_small(df: DataFrame, per_part: int = 50_000, **sums: Column) -> tuple[DataFrame, dict]:
+    """cut(df), and its number of rows `n` and other aggregates, taken as it is written.
+
+    A small table is read again in parts of about per_part rows: in a part for each of the shuffle's it
+    would cost as many tasks, and files in every shuffle that reads it. Larger ones stay as they are.
+    """
+    seen, wanted = Observation(), [F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in sums.items()]]
+    out = cut(df.observe(seen, *wanted))
+    found = seen.get or out.agg(*wanted).first().asDict()  # an empty table can be optimised away with its aggregates
+    parts = max(1, ceil(found["n"] / per_part))
+    few = 2 * parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (out.coalesce(parts) if few else out), found
+
+
 def row_key(docs: DataFrame) -> Column:
     """What tells a document from others: a digest of its doc_id, null or not, and its whole text."""
     text = F.col("text").cast("string") if "text" in docs.columns else F.lit(None).cast("string")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, least_row, ship_code, signed, with_keys
+from .common import cut, cut_small, least_row, ship_code, signed, with_keys
 from .components import connected_components
 from .simhash import LOWER
 from .wordhash import mix
@@ -46,7 +46,8 @@ GROUP = 256  # sums that the strongest is taken of; two of these are a key
 BANDS = 110  # keys a text
 PRINT = 128  # SimHash bits that are compared within a bucket
 SEGMENTS = 16  # of 64 bits, that a fingerprint has
-SMALL = 100_000  # sets whose ids may be broadcast
+SMALL = 100_000  # sets whose ids, roots or sums may be broadcast
+WIDE, WIDEST = 10_000, 2_000  # rows a part that small tables of fingerprints, and of shingles, are read in
 TEXTS = 256  # worked on at once
 PACKED = 1 << 20  # keys that a task packs at once, and that a part has in expectation
 BUCKET = 1024  # sets up to which a bucket's are compared with each other for near ones; of more all stay
@@ -244,29 +245,34 @@ def _distance(a: str, b: str) -> Column:
     return sum(bits[1:], bits[0])
 
 
-def _buckets(classes: DataFrame, similarity: float) -> DataFrame:
-    """(key, set, m, popular, hub) of every bucket of m > 1 sets near each other; popular sums m over a set's buckets."""
-    parts, most = max(32, ceil(classes.count() * BANDS / PACKED)), radius(similarity)
+def _buckets(classes: DataFrame, n: int, similarity: float) -> tuple[DataFrame, DataFrame, int]:
+    """(key, set, m, popular, hub) of every bucket of m > 1 sets near each other, popular being the sum of m over a set's buckets; their sets, and how many."""
+    parts, most = max(32, ceil(n * BANDS / PACKED)), radius(similarity)
     packed = classes.select("set", "keys", "bits").mapInArrow(lambda batches: _packed_batches(batches, parts), "part int, entries binary")
     rows = packed.repartition(parts, "part").mapInArrow(lambda batches: _bucket_batches(batches, most), "key bigint, set bigint, m bigint")
-    rows = cut(rows)
-    popular = rows.groupBy("set").agg(F.sum("m").alias("popular"))
-    rows = rows.join(popular, "set")
+    rows, _ = cut_small(rows)
+    popular, found = cut_small(rows.groupBy("set").agg(F.sum("m").alias("popular")))
+    rows = rows.join(_small(popular, found["n"]), "set")
     hubs = rows.groupBy("key").agg(F.max_by("set", F.struct("popular", "set")).alias("hub"), F.max("popular").alias("hub_popular"))
-    return cut(rows.join(hubs, "key"))
+    return cut_small(rows.join(hubs, "key"))[0], popular.select("set"), found["n"]
 
 
-def _open_pairs(rows: DataFrame, prints: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, root_a, root_b, distance) of members of a bucket that are in different groups and can be similar."""
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """df, of at most n rows of two numbers, to be broadcast if these are few."""
+    return F.broadcast(df) if n <= SMALL else df
+
+
+def _open_pairs(rows: DataFrame, prints: DataFrame, roots: DataFrame, similarity: float) -> tuple[DataFrame, int]:
+    """(a, b, root_a, root_b, distance) of members of a bucket that are in different groups and can be similar; their number."""
     rooted = rows.select("key", "m", "set").join(roots, rows["set"] == roots["node"], "left")
-    rooted = cut(rooted.select("key", "m", "set", F.coalesce("root", "set").alias("root")))
+    rooted, _ = cut_small(rooted.select("key", "m", "set", F.coalesce("root", "set").alias("root")))
     bucket = ["key"]
     split = rooted.groupBy(*bucket).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*bucket)
     rooted = rooted.join(split, bucket)
     counts = rooted.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("size"))
     major = counts.groupBy(*bucket).agg(F.max(F.struct("size", "root")).alias("major")).select(*bucket, F.col("major.root").alias("major"))
     slots = F.ceil(F.col("m") / SLOT).cast("int")
-    whole = cut(rooted.join(major, bucket).join(prints, "set").withColumn("slots", slots))
+    whole, _ = cut_small(rooted.join(major, bucket).join(prints, "set").withColumn("slots", slots), WIDE)
     right = whole.select(
         *bucket, F.pmod(F.xxhash64("set"), F.col("slots")).cast("int").alias("slot"),
         F.col("set").alias("b"), F.col("root").alias("root_b"), (F.col("root") == F.col("major")).alias("b_major"), F.col("print").alias("pb"),
@@ -276,7 +282,8 @@ def _open_pairs(rows: DataFrame, prints: DataFrame, roots: DataFrame, similarity
     )
     apart = (F.col("root_a") != F.col("root_b")) & (F.col("b_major") | (F.col("a") < F.col("b")))
     pairs = left.join(right, [*bucket, "slot"]).where(apart).where(_likely("pa", "pb", similarity))
-    return cut(pairs.select("a", "b", "root_a", "root_b", _distance("pa", "pb").alias("distance")).distinct())
+    pairs, found = cut_small(pairs.select("a", "b", "root_a", "root_b", _distance("pa", "pb").alias("distance")).distinct())
+    return pairs, found["n"]
 
 
 def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -298,34 +305,33 @@ def group_rows(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     schema = f"row {kind}, set bigint, n bigint, keys binary, bits binary, print array<bigint>"
     least = ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1 << 62
     keyed = cut(texts.select("row", F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: _key_batches(batches, shingle, least), schema))
-    classes = cut(keyed.groupBy("set").agg(F.min("row").alias("first_row"), *[F.first(c).alias(c) for c in ("n", "keys", "bits", "print")]))
-    rows = _buckets(classes, similarity)
-    shared = cut(rows.select("set").distinct())
-    few = F.broadcast(shared) if shared.count() <= SMALL else shared
+    classes, found = cut_small(keyed.groupBy("set").agg(F.min("row").alias("first_row"), *[F.first(c).alias(c) for c in ("n", "keys", "bits", "print")]), WIDE)
+    rows, shared, n = _buckets(classes, found["n"], similarity)
+    few = _small(shared, n)
     sets = texts.select("text").mapInArrow(lambda batches: _set_batches(batches, shingle), "set bigint, shingles array<bigint>")
-    sets = cut(sets.join(few, "set", "left_semi").dropDuplicates(["set"]))
+    sets, _ = cut_small(sets.join(few, "set", "left_semi").dropDuplicates(["set"]), WIDEST)
     words = [F.element_at("print", k + 1).alias(f"w{k}") for k in range(SEGMENTS)]
-    prints = cut(classes.join(few, "set", "left_semi").select("set", F.struct("n", *words).alias("print")))
+    prints, _ = cut_small(classes.join(few, "set", "left_semi").select("set", F.struct("n", *words).alias("print")), WIDE)
 
     # One hub a set, the most popular of its buckets': most copies of a text are linked by this.
     stars = rows.where("set <> hub").groupBy("set").agg(F.max(F.struct("hub_popular", "hub")).alias("h")).select(F.col("h.hub").alias("a"), F.col("set").alias("b"))
     stars = stars.join(prints.select(F.col("set").alias("a"), F.col("print").alias("pa")), "a").join(prints.select(F.col("set").alias("b"), F.col("print").alias("pb")), "b")
-    edges = cut(_similar(stars.where(_likely("pa", "pb", similarity)).select("a", "b"), sets, similarity))
-    roots = connected_components(edges)
-
-    pairs = _open_pairs(rows, prints, roots, similarity)
-    if pairs.take(1):
-        nearest = pairs.groupBy("a", "root_b").agg(F.min_by("b", F.struct("distance", "b")).alias("b")).select("a", "b")
-        edges = cut(edges.unionByName(_similar(nearest, sets, similarity)))
-        roots = connected_components(edges)
-        side = [roots.select(F.col("node").alias(x), F.col("root").alias(f"now_{x}")) for x in "ab"]
+    edges, _ = cut_small(_similar(stars.where(_likely("pa", "pb", similarity)).select("a", "b"), sets, similarity))
+    roots = _small(connected_components(edges), n)
+
+    pairs, n_pairs = _open_pairs(rows, prints, roots, similarity)
+    if n_pairs:
+        nearest, _ = cut_small(pairs.groupBy("a", "root_b").agg(F.min_by("b", F.struct("distance", "b")).alias("b")).select("a", "b"))
+        edges, _ = cut_small(edges.unionByName(_similar(nearest, sets, similarity)))
+        roots = _small(connected_components(edges), n)
+        side = [_small(roots.select(F.col("node").alias(x), F.col("root").alias(f"now_{x}")), n) for x in "ab"]
         left = pairs.join(side[0], "a", "left").join(side[1], "b", "left").where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b")
-        left = cut(left.join(nearest, ["a", "b"], "left_anti"))
-        if left.take(1):
-            more = cut(_similar(left, sets, similarity))
-            if more.take(1):
-                roots = connected_components(edges.unionByName(more))
-    rooted = cut(classes.join(roots, classes["set"] == roots["node"], "left").select("set", "first_row", F.coalesce("root", "set").alias("root")))
+        left, found = cut_small(left.join(nearest, ["a", "b"], "left_anti"))
+        if found["n"]:
+            more, found = cut_small(_similar(left, sets, similarity))
+            if found["n"]:
+                roots = _small(connected_components(edges.unionByName(more)), n)
+    rooted, _ = cut_small(classes.join(roots, classes["set"] == roots["node"], "left").select("set", "first_row", F.coalesce("root", "set").alias("root")))
     firsts = rooted.groupBy("root").agg(F.min("first_row").alias("least"))
     labels = rooted.join(firsts, "root").select("set", "least")
     return keyed.select("row", "set").join(labels, "set").select("row", "least")

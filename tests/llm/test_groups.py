@@ -107,3 +107,32 @@ def test_shards(spark, n):
     for s in {r.shard for r in got}:
         own = [r for r in got if r.shard == s]
         assert sorted(r.slot for r in own) == list(range(len(own))) and abs(sum(r.size for r in own) - total / 24) <= largest
+
+
+def test_few_edges_take_one_round_in_few_parts(spark, monkeypatch):
+    """Of an edge list that is in one part, the first round of stars changes nothing, however many parts a shuffle has."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm import common, components
+
+    rounds, star = [], components._small_star
+    monkeypatch.setattr(components, "_small_star", lambda edges: rounds.append(edges) or star(edges))
+    held = {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1100)] + [(2002, 2001), (2002, 2003)]
+        got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+        assert got == {**dict.fromkeys(range(301), 0), **dict.fromkeys(range(1000, 1100), 1000), **dict.fromkeys(range(2001, 2004), 2001)}
+        assert len(rounds) == 1
+        words = spark.createDataFrame([("b", "c"), ("a", "b"), ("x", "y")], "a string, b string")
+        assert {r.node: r.root for r in components.connected_components(words).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+        rows = spark.range(500).groupBy((F.col("id") % 100).alias("k")).count()
+        small, found = common.cut_small(rows, total=F.sum("k"))
+        assert (small.count(), found, small.rdd.getNumPartitions()) == (100, {"n": 100, "total": 4950}, 1)
+        assert common.cut_small(rows, 2)[0].rdd.getNumPartitions() == 31
+        assert common.cut_small(rows.where("false"))[1]["n"] == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
